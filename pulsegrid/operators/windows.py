@@ -158,7 +158,6 @@ def _channel_aggregates(c: str, prefix: str) -> list[Column]:
     x, prev, nxt = f"`{c}`", f"`__p_{c}`", f"`__n_{c}`"
     inside_prev = f"{prev}.t > window_start_s"
     is_last = f"{x} IS NOT NULL AND ({nxt}.t IS NULL OR {nxt}.t > window_end_s)"
-    peak = f"{x} IS NOT NULL AND {inside_prev} AND {nxt}.t <= window_end_s AND {x} > {prev}.v AND {x} >= {nxt}.v"
     aggs = [
         F.expr(f"count({x})").alias(f"{prefix}__valid_count"),
         F.expr(f"avg({x})").alias(f"{prefix}__mean"),
@@ -167,7 +166,6 @@ def _channel_aggregates(c: str, prefix: str) -> list[Column]:
         F.expr(f"max({x})").alias(f"{prefix}__max"),
         _filtered(f"max({x})", is_last).alias(f"{prefix}__last"),
         F.expr(f"regr_slope({x}, {TIME})").alias(f"{prefix}__slope_per_s"),
-        _filtered(f"collect_list({x})", peak).alias(f"__peaks_{prefix}"),
     ]
     if prefix == "ibi":
         delta = f"({x} - {prev}.v) * 1000.0D"
@@ -181,7 +179,22 @@ def _channel_aggregates(c: str, prefix: str) -> list[Column]:
     return aggs
 
 
-def _channel_columns(prefix: str) -> dict[str, Column]:
+def _local_maxima(channels: Sequence[str]) -> Column:
+    """Per window, the rows that are a local maximum of some channel, as one array slot per channel.
+
+    One collected array for all channels: the peak threshold needs the window's own mean and spread.
+    """
+
+    def candidate(c: str) -> str:
+        x, prev, nxt = f"`{c}`", f"`__p_{c}`", f"`__n_{c}`"
+        inside = f"{prev}.t > window_start_s AND {nxt}.t <= window_end_s"
+        return f"IF({x} IS NOT NULL AND {inside} AND {x} > {prev}.v AND {x} >= {nxt}.v, {x}, CAST(NULL AS DOUBLE))"
+
+    slots = ", ".join(candidate(c) for c in channels)
+    return _filtered(f"collect_list(array({slots}))", f"coalesce({slots}, NULL) IS NOT NULL").alias("__peaks")
+
+
+def _channel_columns(prefix: str, slot: int) -> dict[str, Column]:
     """Final columns of one channel from its aggregates."""
     n = F.col(f"{prefix}__valid_count")
     threshold = F.col(f"{prefix}__mean") + F.lit(0.25) * F.col(f"{prefix}__std")
@@ -190,7 +203,7 @@ def _channel_columns(prefix: str) -> dict[str, Column]:
         f"{prefix}__valid_count": n,
         f"{prefix}__valid_frac": n / F.col("source_rows"),
         **{f"{prefix}__{s}": F.col(f"{prefix}__{s}") for s in SUMMARY_STATS},
-        f"{prefix}__peak_count": F.size(F.filter(f"__peaks_{prefix}", lambda v: v > threshold)).cast("long"),
+        f"{prefix}__peak_count": F.size(F.filter("__peaks", lambda v: F.get(v, slot) > threshold)).cast("long"),
     }
     if prefix == "ibi":
         cols["ibi__rmssd_ms"] = F.sqrt("__ibi_msd")
@@ -284,6 +297,8 @@ def window_features(
         aggs.append(_filtered(f"min_by(`{c}`, {position})", f"`{c}` IS NOT NULL").alias(c))
     for c, prefix in channels.items():
         aggs += _channel_aggregates(c, prefix)
+    if channels:
+        aggs.append(_local_maxima(list(channels)))
     if label:
         aggs += [
             F.count("pain_intensity").alias("target_pain_count"),
@@ -315,7 +330,7 @@ def window_features(
     }
     present = list(channels.values())
     for prefix in all_prefixes() if all_blocks else present:
-        out |= _channel_columns(prefix) if prefix in present else absent_columns(prefix)
+        out |= _channel_columns(prefix, present.index(prefix)) if prefix in present else absent_columns(prefix)
     if label:
         n = F.col("target_pain_count")
         out |= {
