@@ -17,12 +17,19 @@ def _null() -> Column:
     return F.lit(None).cast("double")
 
 
-def finite(df: DataFrame, name: str) -> Column:
-    """The column as a finite double, NULL when missing from the table, NaN or infinite."""
-    if name not in df.columns:
+Types = dict[str, str]
+NUMERIC_TYPES = ("double", "float", "int", "bigint", "smallint", "tinyint")
+
+
+def finite(types: Types, name: str) -> Column:
+    """The column as a finite double, NULL when missing from the table, NaN or infinite.
+
+    ``types`` is ``dict(df.dtypes)``, read once per table.
+    """
+    if name not in types:
         return _null()
-    x = F.col(name).cast("double")
-    return F.when(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)), x)
+    x = f"CAST(`{name}` AS DOUBLE)"
+    return F.expr(f"CASE WHEN abs({x}) < double('infinity') AND NOT isnan({x}) THEN {x} END")
 
 
 def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
@@ -48,26 +55,20 @@ def weighted_mean(items: Sequence[tuple[Column, float]]) -> Column:
     return F.when(den > 0, num / den)
 
 
-def robust_departure(df: DataFrame, feature: str) -> Column:
-    z = finite(df, f"{feature}__robust_z_from_profile")
-    d = finite(df, f"{feature}__delta_from_profile_median")
+def robust_departure(types: Types, feature: str) -> Column:
+    z = finite(types, f"{feature}__robust_z_from_profile")
+    d = finite(types, f"{feature}__delta_from_profile_median")
     return F.coalesce(clamp(F.abs(z) / 3.0), clamp(F.abs(d) / 3.0))
 
 
-def block_present(df: DataFrame, prefix: str) -> Column:
+def block_present(types: Types, prefix: str) -> Column:
     """Presence flag when given, else whether any feature of the block has a value."""
-    flag = finite(df, f"{prefix}__present")
-    others = [finite(df, c).isNotNull() for c in df.columns if c.startswith(f"{prefix}__") and _numeric(df, c)]
-    any_value = F.lit(False)
-    for o in others:
-        any_value = any_value | o
+    members = [c for c, t in types.items() if c.startswith(f"{prefix}__") and t in NUMERIC_TYPES]
+    any_value = F.coalesce(*[finite(types, c) for c in members]).isNotNull() if members else F.lit(False)
+    flag = finite(types, f"{prefix}__present")
     return F.when(flag.isNotNull(), flag > 0).otherwise(any_value)
 
 
-def _numeric(df: DataFrame, name: str) -> bool:
-    return df.schema[name].dataType.typeName() in ("double", "float", "integer", "long", "short", "byte")
-
-
 # Fixed values: (column, centre, scale, inverted) of every scaled input, and the mixing weights.
 SCALED_INPUTS = {
     "eda_slope": ("eda__slope_per_s", 0.0, 0.02, False),
@@ -100,13 +101,14 @@ def ternary_score(df: DataFrame) -> DataFrame:
     Missing sensors lower quality and remove evidence; they never count as zero evidence. The stages
     are separate projections so that no shared subexpression is evaluated twice.
     """
-    parts = {f"__{n}": scaled(finite(df, c), ctr, sc, inv) for n, (c, ctr, sc, inv) in SCALED_INPUTS.items()}
-    parts["__eda_level"] = scaled(F.coalesce(finite(df, "eda__mean"), finite(df, "eda__last")), 0.5, 1.5)
-    parts["__hr_level"] = scaled(F.coalesce(finite(df, "hr__mean"), finite(df, "hr__last")), 75.0, 35.0)
-    departures = [robust_departure(df, f) for f in ("eda__mean", "hr__mean", "bvp__mean", "temperature__mean")]
-    parts["__departure"] = clamp(null_mean([*departures, finite(df, "baseline_distance_l1")]))
-    parts["__pns_baseline"] = 1.0 - clamp(null_mean([robust_departure(df, f) for f in ("ibi__rmssd_ms", "ibi__sdnn_ms")]))
-    parts |= {f"__has_{b}": block_present(df, b) for b in SCORED_BLOCKS}
+    types = dict(df.dtypes)
+    parts = {f"__{n}": scaled(finite(types, c), ctr, sc, inv) for n, (c, ctr, sc, inv) in SCALED_INPUTS.items()}
+    parts["__eda_level"] = scaled(F.coalesce(finite(types, "eda__mean"), finite(types, "eda__last")), 0.5, 1.5)
+    parts["__hr_level"] = scaled(F.coalesce(finite(types, "hr__mean"), finite(types, "hr__last")), 75.0, 35.0)
+    departures = [robust_departure(types, f) for f in ("eda__mean", "hr__mean", "bvp__mean", "temperature__mean")]
+    parts["__departure"] = clamp(null_mean([*departures, finite(types, "baseline_distance_l1")]))
+    parts["__pns_baseline"] = 1.0 - clamp(null_mean([robust_departure(types, f) for f in ("ibi__rmssd_ms", "ibi__sdnn_ms")]))
+    parts |= {f"__has_{b}": block_present(types, b) for b in SCORED_BLOCKS}
     one = df.withColumns(parts)
 
     def mixed(weights: dict[str, float]) -> Column:
@@ -193,11 +195,12 @@ def state_preferences(scores: Column, temperature: float = 1.6) -> Column:
 
 def portable_logistic(df: DataFrame, model: dict) -> Column:
     """Score an exported logistic model: impute, scale, dot, sigmoid - one generated expression."""
+    types = dict(df.dtypes)
     z = F.lit(float(model["intercept"]))
     for name, med, mean, sd, coef in zip(
         model["numeric_features"], model["imputer_median"], model["scaler_mean"], model["scaler_scale"], model["coef"]
     ):
-        x = F.coalesce(finite(df, name), F.lit(float(med)))
+        x = F.coalesce(finite(types, name), F.lit(float(med)))
         z = z + F.lit(float(coef)) * ((x - F.lit(float(mean))) / F.lit(float(sd) if sd else 1.0))
     return 1.0 / (1.0 + F.exp(-z))
 
