@@ -103,7 +103,8 @@ def task_rows(windows: DataFrame) -> DataFrame:
         task("cognitive_load_vs_baseline", ds == "catsa", (~cond.eqNullSafe("baseline")).cast("double"), ~cond.eqNullSafe("baseline")),
     )
     keep = [c for c in windows.columns if c not in ("target_value", "y", "task")]
-    return windows.select(*keep, F.explode(F.array_compact(tasks)).alias("__t")).select(*keep, "__t.task", "__t.target_value", "__t.y")
+    return windows.select(*keep, F.explode_outer(F.array_compact(tasks)).alias("__t")).where("__t IS NOT NULL").select(
+        *keep, "__t.task", "__t.target_value", "__t.y")
 
 
 # Weak labels ----------------------------------------------------------------------------------

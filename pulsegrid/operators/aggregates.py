@@ -43,7 +43,7 @@ def session_target_summary(df: DataFrame, groups: Sequence[str], target: str) ->
 
 def observed_values(df: DataFrame, groups: Sequence[str], value: str, name: str) -> DataFrame:
     """Sorted distinct values per group: deduplicated before grouping, so heavy repeats never gather."""
-    return df.select(*groups, value).distinct().groupBy(*groups).agg(F.array_sort(F.collect_set(value)).alias(name))
+    return df.select(*groups, value).distinct().groupBy(*groups).agg(F.sort_array(F.collect_set(value)).alias(name))
 
 
 def sensor_coverage(df: DataFrame, group: str, flags: Sequence[str]) -> DataFrame:

@@ -41,7 +41,7 @@ def asof_join(
                         F.struct(*lcols).alias("__row"), F.lit(None).cast(right.select(payload).schema[0].dataType).alias("__v"))
     if tolerance is not None:
         tol = F.lit(float(tolerance))
-        reach = F.explode(F.sequence(F.floor((t - tol) / size).cast("long"), F.floor((t + tol) / size).cast("long")))
+        reach = F.explode_outer(F.sequence(F.floor((t - tol) / size).cast("long"), F.floor((t + tol) / size).cast("long")))
     else:
         reach = home
     rrows = right.where(t.isNotNull()).select(
@@ -142,7 +142,7 @@ def interval_join(
     size = F.lit(float(bucket))
     seg = segments.where(F.col(start) <= F.col(end)).select(
         *keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(seg_order).alias("__o"), *values,
-        F.explode(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long"))).alias("__b"),
+        F.explode_outer(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long"))).alias("__b"),
     )
     pts = points.withColumn("__b", F.floor(F.col(time) / size).cast("long"))
     right = seg.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__kb"), "__s", "__e", "__o",
@@ -181,7 +181,7 @@ def protocol_segments(lines: DataFrame, keys: Sequence[str], text: str = "value"
         *keys, "o", F.transform("s", lambda v: clean_numeric(v)).alias("s"), F.transform("e", lambda v: clean_numeric(v)).alias("e")
     )
     seg = numbers.select(*keys, F.array_min(F.filter("s", lambda v: v.isNotNull())).alias("__origin"),
-                         F.posexplode(F.arrays_zip("o", "s", "e")).alias("seg_no", "p"))
+                         F.posexplode_outer(F.arrays_zip("o", "s", "e")).alias("seg_no", "p"))
     name = F.lower(F.replace(F.col("p.o"), F.lit(" "), F.lit("_")))
     stress = name == "tsst"
     return seg.where((F.col("p.o") != "") & F.col("p.s").isNotNull() & F.col("p.e").isNotNull()).select(
@@ -209,7 +209,7 @@ def minute_cover(intervals: DataFrame, keys: Sequence[str], start: str, end: str
 
     return (
         intervals.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start)))
-        .select(*keys, kind, F.explode(F.sequence(minute_floor(start), minute_ceil(end), F.expr("INTERVAL 1 MINUTE"))).alias("minute"))
+        .select(*keys, kind, F.explode_outer(F.sequence(minute_floor(start), minute_ceil(end), F.expr("INTERVAL 1 MINUTE"))).alias("minute"))
         .distinct()
     )
 
@@ -241,7 +241,7 @@ def anchor_samples(
 ) -> DataFrame:
     """Samples in ``(end - W, end]`` of every anchor, by equality on (keys, time bucket of width W)."""
     size = F.lit(float(window_seconds))
-    a = anchors.withColumn("__b", F.explode(F.sequence(
+    a = anchors.withColumn("__b", F.explode_outer(F.sequence(
         F.floor((F.col(anchor_time) - size) / size).cast("long"), F.floor(F.col(anchor_time) / size).cast("long"))))
     s = stream.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.floor(F.col(time) / size).cast("long").alias("__kb"),
                       F.col(time), *columns)

@@ -114,7 +114,7 @@ def exact_quantiles(
         return packed.select(*keys, *out)
     # Hot path: long form, ties collapsed before any ordering, exact ranks by two-level prefix sums.
     long = df.select(
-        *keys, F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
+        *keys, F.explode_outer(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
     ).select(*keys, F.col("p.f").alias("__f"), F.col("p.v").alias("__v")).where("__v is not null")
     group = [*keys, "__f"]
     values = long.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))

@@ -1,4 +1,8 @@
-"""Temporal-shape features of regular-grid signals."""
+"""Temporal-shape features of windows: resample, describe, couple, and control for order.
+
+Signals are handled in long form, one row per (window, sensor, variant), so the plan stays the same size
+whatever the number of sensors; the variants are the true order, a seeded shuffle and the reversal.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulsegrid.functions import arrays as AR
+from pulsegrid.functions import kernels as KE
+from pulsegrid.operators.align import anchor_samples
+from pulsegrid.schema import COUPLING_PAIRS, SHAPE_SENSORS
+
+VARIANTS = ("shape", "shuffle", "reverse")
+
 
 def recent_targets(samples: DataFrame, keys: Sequence[str], target: str, recent_s: float = 1.0) -> DataFrame:
     """Target at the anchor: from the last second when labelled there, else from the whole window.
@@ -21,3 +32,92 @@ def recent_targets(samples: DataFrame, keys: Sequence[str], target: str, recent_
         F.coalesce(F.expr(f"max_by(`{target}`, {pos}) FILTER (WHERE {near})"),
                    F.expr(f"max_by(`{target}`, {pos}) FILTER (WHERE `{target}` IS NOT NULL)")).alias("target_last"))
     return out.where(F.col("__n") > 0).drop("__n")
+
+
+def describe_signals(signals: DataFrame, column: str, hz: float) -> DataFrame:
+    """All single-signal features of an array column (spectral and wavelet ones on the robust z)."""
+    shaped = AR.shape_features(signals, column, hz)
+    packed = shaped.withColumns({"__spec": KE.spectral_features(hz)("__z"), "__wave": KE.wavelet_features()("__z")})
+    return packed.select("*", "__spec.*", "__wave.*").drop("__spec", "__wave", "__z")
+
+
+def with_variants(signals: DataFrame, column: str, seed: int, keys: Sequence[str]) -> DataFrame:
+    """Each signal three times: true order, seeded shuffle, reversed."""
+    x = F.col(column)
+    shuffled = AR.seeded_shuffle(x, F.lit(seed), *[F.col(k) for k in keys])
+    variants = F.array(*[F.struct(F.lit(n).alias("variant"), e.alias("signal")) for n, e in
+                         (("shape", x), ("shuffle", shuffled), ("reverse", F.reverse(x)))])
+    keep = [c for c in signals.columns if c != column]
+    return signals.select(*keep, F.explode_outer(variants).alias("__v")).select(*keep, "__v.variant", F.col("__v.signal").alias(column))
+
+
+def window_signals(
+    anchors: DataFrame, stream: DataFrame, keys: Sequence[str], sensors: Sequence[str], window_seconds: float, hz: float, anchor_id: str,
+) -> DataFrame:
+    """One row per (anchor, sensor): sample counts, summary of the raw values, and the resampled grid."""
+    rows = anchor_samples(anchors.select(*keys, anchor_id, "window_end_s"), stream, keys, window_seconds, ["sample_index", *sensors])
+    long = rows.select(
+        *keys, anchor_id, "window_end_s", "sample_offset_s", "sample_index",
+        F.explode_outer(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("v")) for s in sensors])).alias("p"),
+    ).select(*keys, anchor_id, "window_end_s", "sample_offset_s", "sample_index", "p.sensor", "p.v")
+    sample = F.when(F.col("v").isNotNull(), F.struct(F.col("sample_offset_s").alias("t"), F.col("sample_index").alias("s"), "v"))
+    grouped = long.groupBy(*keys, anchor_id, "window_end_s", "sensor").agg(
+        F.count(F.lit(1)).alias("source_rows"), F.count("v").alias("valid_count"), F.sort_array(F.collect_list(sample)).alias("__s"),
+        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    grid = KE.resample(hz)(F.transform("__s", lambda s: s["t"]), F.transform("__s", lambda s: s["v"]),
+                           F.col("window_end_s") - F.lit(float(window_seconds)), F.col("window_end_s"))
+    return grouped.withColumns(
+        {"valid_frac": F.col("valid_count") / F.col("source_rows"), "last": F.get("__s", F.size("__s") - 1)["v"], "grid": grid}).drop("__s")
+
+
+def shape_long(
+    anchors: DataFrame, stream: DataFrame, keys: Sequence[str], sensors: Sequence[str], window_seconds: float, hz: float, anchor_id: str,
+    seed: int = 20260609,
+) -> DataFrame:
+    """Features in long form: (anchor, feature, value), with sensor__group__name feature names."""
+    signals = window_signals(anchors, stream, keys, sensors, window_seconds, hz, anchor_id)
+    ids = [*keys, anchor_id]
+
+    def melt(df: DataFrame, group, names: Sequence[str]) -> DataFrame:
+        items = F.array(*[F.struct(F.lit(n).alias("n"), F.col(n).cast("double").alias("v")) for n in names])
+        flat = df.select(*ids, "sensor", group.alias("g"), F.explode_outer(items).alias("i"))
+        return flat.select(*ids, F.concat_ws("__", "sensor", "g", "i.n").alias("feature"), F.col("i.v").alias("value"))
+
+    quality = melt(signals, F.lit("quality"), ("valid_count", "valid_frac"))
+    base = melt(signals.where("valid_count > 0"), F.lit("base"), ("mean", "std", "min", "max", "last"))
+    gridded = signals.where("grid IS NOT NULL").select(*ids, "sensor", "grid")
+    described = describe_signals(with_variants(gridded, "grid", seed, [*ids, "sensor"]), "grid", hz)
+    names = [c for c in described.columns if c not in {*ids, "sensor", "variant", "grid"}]
+    shape = melt(described, F.col("variant"), names)
+    return quality.unionByName(base).unionByName(shape).unionByName(coupling_long(gridded, ids, hz)).where("value IS NOT NULL")
+
+
+def coupling_long(gridded: DataFrame, ids: Sequence[str], hz: float) -> DataFrame:
+    """Cross-sensor coupling of the fixed sensor pairs; sensors of a window meet on the window key."""
+    pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in COUPLING_PAIRS])
+    by_window = gridded.groupBy(*ids).agg(F.map_from_entries(F.collect_list(F.struct("sensor", "grid"))).alias("m"))
+    paired = by_window.select(*ids, "m", F.explode_outer(pairs).alias("p")).select(
+        *ids, F.concat_ws("_x_", "p.a", "p.b").alias("pair"), F.try_element_at("m", F.col("p.a")).alias("x"),
+        F.try_element_at("m", F.col("p.b")).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    c = paired.withColumn("c", KE.coupling_features(hz)("x", "y"))
+    items = F.array(*[F.struct(F.lit(n).alias("n"), F.col(f"c.{n}").alias("v")) for n in KE.COUPLING_FIELDS])
+    return c.select(*ids, "pair", F.explode_outer(items).alias("i")).select(
+        *ids, F.concat_ws("__", "pair", F.lit("coupling"), "i.n").alias("feature"), F.col("i.v").alias("value"))
+
+
+def feature_names(sensors: Sequence[str] = (*SHAPE_SENSORS, "acc_mag")) -> list[str]:
+    """Every column the wide table can have for these sensors."""
+    single = ["median", "mad", "q10", "q25", "q75", "q90", "iqr", "skew", "kurtosis", "rms_z", "late_minus_early_z", "last_minus_first_z",
+              "max_time_fraction", "min_time_fraction", "mean_abs_diff_z", "std_diff_z", "max_abs_diff_z", "second_diff_energy",
+              "median_crossings", "longest_above_median_frac", "longest_below_median_frac", "autocorr_025s", "autocorr_05s", "autocorr_1s",
+              "autocorr_2s", *KE.SPECTRAL_FIELDS, *KE.WAVELET_FIELDS]
+    out = [f"{s}__quality__{q}" for s in sensors for q in ("valid_count", "valid_frac")]
+    out += [f"{s}__base__{b}" for s in sensors for b in ("mean", "std", "min", "max", "last")]
+    out += [f"{s}__{g}__{n}" for s in sensors for g in VARIANTS for n in single]
+    out += [f"{a}_x_{b}__coupling__{n}" for a, b in COUPLING_PAIRS if a in sensors and b in sensors for n in KE.COUPLING_FIELDS]
+    return out
+
+
+def shape_wide(long: DataFrame, ids: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Long features to one wide row per anchor (the column list is known, so no pivot discovery job)."""
+    return long.groupBy(*ids).pivot("feature", list(names)).agg(F.first("value"))

@@ -78,7 +78,7 @@ def anchor_time(spec: WindowSpec) -> Column:
 def window_anchors(stream: DataFrame, spec: WindowSpec, keys: Sequence[str] = ("dataset_id", "session_id")) -> DataFrame:
     """The anchor grid itself: one row per (session, tick)."""
     bounds = session_bounds(stream, spec.check(), keys)
-    grid = bounds.select(*keys, "first_anchor", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_anchors") - 1)).alias("k"))
+    grid = bounds.select(*keys, "first_anchor", F.explode_outer(F.sequence(F.lit(0).cast("long"), F.col("n_anchors") - 1)).alias("k"))
     return grid.select(*keys, "k", anchor_time(spec).alias("window_end_s"))
 
 
@@ -88,7 +88,7 @@ def _assign_blocks(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], ext
     bounds = session_bounds(stream, spec, keys)
     blocks = bounds.withColumn(
         "block",
-        F.explode(
+        F.explode_outer(
             F.sequence(
                 F.floor(F.col("first_anchor") / size).cast("long"),
                 F.floor((F.col("first_anchor") + F.col("n_anchors") * F.lit(spec.step_seconds)) / size).cast("long"),
@@ -98,7 +98,7 @@ def _assign_blocks(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], ext
     reach = F.lit(spec.window_seconds + spec.step_seconds)
     samples = stream.where(F.col(TIME).isNotNull()).withColumn(
         "block",
-        F.explode(F.sequence(F.floor(F.col(TIME) / size).cast("long"), F.floor((F.col(TIME) + reach) / size).cast("long"))),
+        F.explode_outer(F.sequence(F.floor(F.col(TIME) / size).cast("long"), F.floor((F.col(TIME) + reach) / size).cast("long"))),
     )
     on = F.col("block") == F.col("__b_block")
     for k in keys:
@@ -125,7 +125,7 @@ def _explode_ticks(df: DataFrame, spec: WindowSpec) -> DataFrame:
     lo = F.greatest(F.ceil((t - F.col("first_anchor")) / step) - 1, F.lit(0).cast("long"))
     hi = F.least(F.floor((t - F.col("first_anchor") + width) / step) + 1, F.col("n_anchors") - 1)
     ranged = df.withColumns({"__lo": lo.cast("long"), "__hi": hi.cast("long")}).where("__lo <= __hi")
-    ticks = ranged.withColumn("k", F.explode(F.sequence("__lo", "__hi"))).withColumn("window_end_s", anchor_time(spec))
+    ticks = ranged.withColumn("k", F.explode_outer(F.sequence("__lo", "__hi"))).withColumn("window_end_s", anchor_time(spec))
     start = F.col("window_end_s") - width
     if spec.include_partial_windows:
         start = F.greatest(F.col("t_min"), start)
@@ -420,7 +420,7 @@ def pane_summary(
              F.var_pop(x).alias("v"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     )
     ticks = panes.withColumn(
-        "k", F.explode(F.sequence(F.greatest(F.col("pane"), F.lit(0).cast("long")),
+        "k", F.explode_outer(F.sequence(F.greatest(F.col("pane"), F.lit(0).cast("long")),
                                   F.least(F.col("pane") + (per - 1), F.col("n_anchors") - 1)))
     )
     total = F.sum("n")
