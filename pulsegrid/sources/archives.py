@@ -23,9 +23,13 @@ LINE_SCHEMA = "archive string, nested string, member string, line_no long, value
 
 def _open(uri: str):
     """Seekable input stream of a file on any filesystem Arrow can reach."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
-    system, path = fs.FileSystem.from_uri(uri)
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem().open_input_file("/" + uri.removeprefix("file:").lstrip("/"))
+    system, path = fs.FileSystem.from_uri(quote(uri, safe=":/%@?=&"))
     return system.open_input_file(path)
 
 
@@ -120,13 +124,16 @@ def csv_columns(lines: DataFrame, columns: list[str], sep: str = ",", width: int
     line number, so no ordering job is needed.
     """
     fields = ", ".join(f"c{i} string" for i in range(width))
+    options = {"sep": sep, "mode": "PERMISSIVE"}
+    # Parsed once per line into a column of its own: field accesses must not each bring a parser along.
+    parsed = lines.where((F.col("line_no") > 0) & (F.trim("value") != "")).withColumns(
+        {"__row": F.from_csv("value", fields, options), "__names": F.from_csv(F.get("head", 0), fields, options)})
 
-    def cells(text):
-        parsed = F.from_csv(text, fields, {"sep": sep, "mode": "PERMISSIVE"})
-        return F.array(*[parsed[f"c{i}"] for i in range(width)])
+    def cells(struct: str):
+        return F.array(*[F.col(f"{struct}.c{i}") for i in range(width)])
 
-    head = F.transform(cells(F.get("head", 0)), lambda c: canonical_name(F.coalesce(c, F.lit(""))))
-    rows = lines.where((F.col("line_no") > 0) & (F.trim("value") != "")).withColumns({"__cells": cells(F.col("value")), "__head": head})
+    rows = parsed.withColumns(
+        {"__cells": cells("__row"), "__head": F.transform(cells("__names"), lambda c: canonical_name(F.coalesce(c, F.lit(""))))})
     picked = [F.get("__cells", F.nullif(F.array_position("__head", c), F.lit(0)).cast("int") - 1).alias(c) for c in columns]
     return rows.select("archive", "nested", "member", (F.col("line_no") - 1).alias("sample_index"), *picked)
 

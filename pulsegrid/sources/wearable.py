@@ -9,6 +9,7 @@ from pulsegrid import schema as S
 from pulsegrid.functions.text import clean_numeric
 from pulsegrid.operators.align import asof_join
 from pulsegrid.operators.scale import running_index
+from pulsegrid.session import pinned
 
 CHANNELS = {"acc": ("acc_x", "acc_y", "acc_z"), "bvp": ("bvp",), "eda": ("eda",), "hr": ("hr",), "temp": ("temperature",)}
 
@@ -38,6 +39,8 @@ def combine_sessions(lines: DataFrame, keys: list[str], bucket: float = 60.0) ->
     tolerance is half a sample period (at least 20 ms), 15 ms for beat intervals.
     """
     sensors = [*CHANNELS, "ibi"]
+    # Every sensor is a pass over these lines: inflate the archives once, not once per sensor.
+    lines = pinned(lines.where(F.col("sensor").isin(*sensors)))
     minimum = F.when(F.col("sensor") == "ibi", 1).otherwise(2)
     sizes = lines.where(F.col("line_no") >= minimum).groupBy(*keys, "sensor").agg(
         F.count(F.lit(1)).alias("n"), F.max(clean_numeric(F.get(F.split(F.get("head", 1), ","), 0))).alias("rate"))

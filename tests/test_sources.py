@@ -111,7 +111,7 @@ def test_other_sources_and_sinks(spark, tmp_path):
     summary = sinks.build_window_table(spark.read.parquet(out + "/stream"), out + "/windows", WindowSpec(window_seconds=2.0)).collect()
     assert {r["dataset_id"]: r["window_rows"] for r in summary}["induced_stress_exercise"] == 2
     sinks.export_csv(spark.read.parquet(out + "/labels"), out + "/csv")
-    assert spark.read.option("header", True).csv(out + "/csv").count() == 5
+    assert spark.read.option("header", True).csv(out + "/csv").count() == 6  # one sports session has two conditions
 
 
 def test_health_export(spark, tmp_path):
