@@ -95,27 +95,50 @@ def coupling_features(hz: float):
     """Struct of zero-lag and strongest lagged correlation (within two seconds) of two signals."""
     reach = max(int(round(2.0 * hz)), 1)
 
+    def corr(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Row-wise correlation of two matrices, with both row spreads."""
+        dp, dq = p - p.mean(axis=1, keepdims=True), q - q.mean(axis=1, keepdims=True)
+        sp, sq = np.sqrt((dp * dp).mean(axis=1)), np.sqrt((dq * dq).mean(axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return (dp * dq).mean(axis=1) / (sp * sq), sp, sq
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        out = np.full((len(x), 3), np.nan)
+        n = x.shape[1]
+        if n < 12:
+            return out
+        zero, sx, sy = corr(x, y)
+        ok = (sx >= 1e-12) & (sy >= 1e-12)
+        out[ok, 0] = zero[ok]
+        best, at = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        for lag in range(-reach, reach + 1):
+            if n - abs(lag) < 8:
+                continue
+            p, q = (x[:, -lag:], y[:, :lag]) if lag < 0 else (x[:, : n - lag], y[:, lag:])
+            r, sp, sq = corr(p, q)
+            # The first of equally strong lags is kept.
+            win = ok & (sp > 0) & (sq > 0) & (np.isnan(best) | (np.abs(r) > np.abs(best)))
+            best[win], at[win] = r[win], lag / hz
+        out[:, 1], out[:, 2] = best, at
+        return out
+
     @F.pandas_udf(_schema(COUPLING_FIELDS))
     def coupling(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        """Gap-free grids of equal length (the usual case) go through as one matrix per length."""
         rows = np.full((len(left), 3), np.nan)
+        groups: dict[int, list[int]] = {}
         for i, (a, b) in enumerate(zip(left, right)):
-            if a is None or b is None:
-                continue
-            x, y = np.asarray(a, float), np.asarray(b, float)
-            ok = np.isfinite(x) & np.isfinite(y)
-            x, y = x[ok], y[ok]
-            if x.size < 12 or x.std() < 1e-12 or y.std() < 1e-12:
-                continue
-            rows[i, 0] = np.corrcoef(x, y)[0, 1]
-            best = None
-            for lag in range(-reach, reach + 1):
-                p, q = (x[-lag:], y[:lag]) if lag < 0 else (x[: x.size - lag], y[lag:])
-                if p.size >= 8 and p.std() > 0 and q.std() > 0:
-                    r = np.corrcoef(p, q)[0, 1]
-                    if best is None or abs(r) > abs(best[0]):
-                        best = (r, lag / hz)
-            if best is not None:
-                rows[i, 1:] = best
+            if a is not None and b is not None and len(a) == len(b):
+                groups.setdefault(len(a), []).append(i)
+        for members in groups.values():
+            x = np.stack([left.iloc[i] for i in members]).astype(float)
+            y = np.stack([right.iloc[i] for i in members]).astype(float)
+            whole = np.isfinite(x).all(axis=1) & np.isfinite(y).all(axis=1)
+            at = np.array(members)
+            rows[at[whole]] = pairs(x[whole], y[whole])
+            for i in np.flatnonzero(~whole):
+                ok = np.isfinite(x[i]) & np.isfinite(y[i])
+                rows[at[i]] = pairs(x[i][ok][None, :], y[i][ok][None, :])[0]
         return pd.DataFrame(rows, columns=list(COUPLING_FIELDS))
 
     return coupling

@@ -83,8 +83,13 @@ def window_anchors(stream: DataFrame, spec: WindowSpec, keys: Sequence[str] = ("
 
 
 def _assign_blocks(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
-    """Samples joined with their session bounds on (session, block), halo copies included."""
+    """Samples joined with their session bounds on (session, block), halo copies included.
+
+    The cell is one struct column: struct equality keeps NULL session ids, and the join's partitioning
+    on that column is the one the later windows and groupings ask for, so samples are shuffled once.
+    """
     size = F.lit(spec.block_seconds)
+    cell = F.struct(*keys, "block").alias("__cell")
     bounds = session_bounds(stream, spec, keys)
     blocks = bounds.withColumn(
         "block",
@@ -94,16 +99,13 @@ def _assign_blocks(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], ext
                 F.floor((F.col("first_anchor") + F.col("n_anchors") * F.lit(spec.step_seconds)) / size).cast("long"),
             )
         ),
-    ).select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col("block").alias("__b_block"), "t_min", "first_anchor", "n_anchors")
+    ).select(cell, "t_min", "first_anchor", "n_anchors")
     reach = F.lit(spec.window_seconds + spec.step_seconds)
     samples = stream.where(F.col(TIME).isNotNull()).withColumn(
         "block",
         F.explode_outer(F.sequence(F.floor(F.col(TIME) / size).cast("long"), F.floor((F.col(TIME) + reach) / size).cast("long"))),
     )
-    on = F.col("block") == F.col("__b_block")
-    for k in keys:
-        on = on & F.col(k).eqNullSafe(F.col(f"__b_{k}"))
-    return samples.join(blocks, on).select(*keys, "block", TIME, *extra, "t_min", "first_anchor", "n_anchors")
+    return samples.select(cell, TIME, *extra).join(blocks, "__cell")
 
 
 def _neighbours(df: DataFrame, cell: Sequence[str], order: Sequence[str], channels: Sequence[str]) -> DataFrame:
@@ -132,7 +134,7 @@ def _explode_ticks(df: DataFrame, spec: WindowSpec) -> DataFrame:
     return (
         ticks.withColumn("window_start_s", start)
         .where((t > F.col("window_start_s")) & (t <= F.col("window_end_s")))
-        .where(F.floor(F.col("window_end_s") / size) == F.col("block"))
+        .where(F.floor(F.col("window_end_s") / size) == F.col("__cell.block"))
         .drop("__lo", "__hi")
     )
 
@@ -278,7 +280,7 @@ def window_features(
     seq = ["sample_index"] if "sample_index" in have else []
     label = ["pain_intensity"] if "pain_intensity" in have else []
 
-    cell = [*keys, "block"]
+    cell = ["__cell"]
     placed = _assign_blocks(clean, spec, keys, [*seq, *identity, *context, *label, *channels])
     linked = _neighbours(placed, cell, [TIME, *seq], list(channels))
     ticks = _explode_ticks(linked, spec)
@@ -338,7 +340,7 @@ def window_features(
             "target_pain_coverage": n / F.col("source_rows"),
             **{c: F.col(c) for c in ("target_pain_nrs_0_10", "target_pain_min", "target_pain_max", "target_pain_count")},
         }
-    lead = [*keys, *identity, "window_start_s", "window_end_s", "source_rows", "window_max_gap_s", "window_allowed_gap_s"]
+    lead = [*[F.col(f"__cell.{k}").alias(k) for k in keys], *identity, "window_start_s", "window_end_s", "source_rows", "window_max_gap_s", "window_allowed_gap_s"]
     return rows.select(*lead, *context, *[e.alias(n) for n, e in out.items()])
 
 

@@ -18,6 +18,8 @@ def build_session(app: str = "pulsegrid", master: str | None = None, shuffle_par
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Stages after an exchange multiply their rows here (windows per sample), so keep partitions small.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.parquet.compression.codec", "zstd")
     )
