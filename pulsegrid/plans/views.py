@@ -138,7 +138,7 @@ def baseline_rows(spark: SparkSession, sf: str) -> DataFrame:
             F.col("n_name").alias("dataset_id"), F.col("o_custkey").cast("string").alias("subject_id"),
             F.col("o_orderkey").alias("row_id"),
             F.when(F.col("o_orderstatus") == "F", "Rest").otherwise(F.col("o_orderstatus")).alias("condition"),
-            (F.col("o_totalprice") / 700.0).alias("eda__mean"),
+            (F.log("o_totalprice") * 10.0).alias("eda__mean"),
             (F.dayofyear(F.col("o_orderdate").cast("timestamp")).cast("double") / 7.0).alias("hr__mean"),
         )
     )
@@ -147,5 +147,5 @@ def baseline_rows(spark: SparkSession, sf: str) -> DataFrame:
 BASELINE_SQL = """br AS (
   SELECT n_name AS dataset_id, CAST(o_custkey AS VARCHAR) AS subject_id, o_orderkey AS row_id,
     CASE WHEN o_orderstatus = 'F' THEN 'Rest' ELSE o_orderstatus END AS condition,
-    o_totalprice / 700.0 AS eda__mean, CAST(dayofyear(o_orderdate) AS DOUBLE) / 7.0 AS hr__mean
+    ln(o_totalprice) * 10.0 AS eda__mean, CAST(dayofyear(o_orderdate) AS DOUBLE) / 7.0 AS hr__mean
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
