@@ -205,12 +205,15 @@ def apply_protocol(stream: DataFrame, segments: DataFrame, keys: Sequence[str],
 
 def minute_cover(intervals: DataFrame, keys: Sequence[str], start: str, end: str, kind: str) -> DataFrame:
     """Distinct minutes touched by the intervals, per key and kind."""
+    return _minutes(intervals, keys, start, end, kind).distinct()
+
+
+def _minutes(intervals: DataFrame, keys: Sequence[str], start: str, end: str, kind: str) -> DataFrame:
     from pulsegrid.functions.text import minute_ceil, minute_floor
 
     return (
         intervals.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start)))
         .select(*keys, kind, F.explode_outer(F.sequence(minute_floor(start), minute_ceil(end), F.expr("INTERVAL 1 MINUTE"))).alias("minute"))
-        .distinct()
     )
 
 
@@ -222,8 +225,7 @@ def archetype_label(samples: DataFrame, intervals: DataFrame, keys: Sequence[str
     """
     from pulsegrid.functions.text import minute_floor
 
-    cover = minute_cover(intervals, keys, start, end, kind)
-    flags = cover.groupBy(*keys, "minute").agg(
+    flags = _minutes(intervals, keys, start, end, kind).groupBy(*keys, "minute").agg(
         F.max(F.col(kind) == "sleep").alias("__sleep"), F.max(F.col(kind) == "stand").alias("__stand"),
         F.max(F.col(kind).isin("workout", "exercise")).alias("__active"),
     )

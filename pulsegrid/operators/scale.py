@@ -35,18 +35,19 @@ def has_hot_group(df: DataFrame, keys: Sequence[str], limit: int | None = None)
     return bool(counts.where(F.col("__n") > limit).take(1))
 
 
-def range_bucket(df: DataFrame, keys: Sequence[str], order: str, buckets: int = BUCKETS) -> DataFrame:
-    """Add ``__bucket``, monotone in ``order`` within each group, with roughly equal bucket sizes.
+def range_bucket(df: DataFrame, keys: Sequence[str], order: str, buckets: int = BUCKETS, limit: int | None = None) -> DataFrame:
+    """Add ``__bucket``, monotone in ``order`` within each group: roughly equal buckets for hot groups, 0 for others.
 
     Cut points come from a mergeable sketch (fixed size per group) and are pinned, because a sketch
-    may differ between two evaluations of the same plan.
+    may differ between two evaluations of the same plan. At most rows / limit groups can be hot.
     """
+    limit = limit or hot_group_rows(df.sparkSession)
     probs = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    cuts = df.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), probs, buckets * 16).alias("__cuts"))
+    sketch = F.percentile_approx(F.col(order).cast("double"), probs, buckets * 16).alias("__cuts")
+    cuts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), sketch).where(F.col("__n") > limit).drop("__n")
     joined = null_safe_join(df, pinned(cuts), keys) if keys else df.withColumn("__cuts", F.lit(pinned(cuts).first()[0]))
-    bucket = F.coalesce(
-        F.size(F.filter("__cuts", lambda c: c < F.col(order).cast("double"))), F.lit(0)
-    )
+    below = F.size(F.filter("__cuts", lambda c: c < F.col(order).cast("double")))
+    bucket = F.when(F.col("__cuts").isNotNull(), below).otherwise(F.lit(0))
     return joined.withColumn("__bucket", bucket).drop("__cuts")
 
 
@@ -67,7 +68,7 @@ def prefix_sums(
     if not has_hot_group(df, keys, limit):
         w = Window.partitionBy(*keys).orderBy(order, *tie_breakers).rowsBetween(Window.unboundedPreceding, -1)
         return df.withColumns({n: F.coalesce(F.sum(e).over(w), zero) for n, e in terms.items()})
-    bucketed = range_bucket(df, keys, order)
+    bucketed = range_bucket(df, keys, order, limit=limit)
     cell = [*keys, "__bucket"]
     totals = bucketed.groupBy(*cell).agg(*[F.sum(e).alias(f"__t_{n}") for n, e in terms.items()])
     before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -192,7 +192,7 @@ def metric_auc(spark, sf):
     "metric_ap",
     f"""WITH {EVAL_SQL}, g AS (SELECT dataset_id, score, sum(y) AS n1, count(*) AS n FROM ev GROUP BY ALL),
     c AS (SELECT *, sum(n1) OVER w AS tp, sum(n) OVER w AS tot, sum(n1) OVER (PARTITION BY dataset_id) AS pos FROM g WINDOW w AS (PARTITION BY dataset_id ORDER BY score DESC))
-    SELECT dataset_id, round(sum(n1 / pos * (tp / tot)), 6) AS average_precision FROM c GROUP BY dataset_id""",
+    SELECT dataset_id, CASE WHEN any_value(pos) > 0 AND any_value(pos) < sum(n) THEN round(sum(n1 / pos * (tp / tot)), 6) END AS average_precision FROM c GROUP BY dataset_id""",
 )
 def metric_ap(spark, sf):
     return rounded(M.ranking_metrics(evaluation(spark, sf), ["dataset_id"]).select("dataset_id", "average_precision"))

@@ -205,8 +205,8 @@ def softmax_pref(spark, sf):
     scores = {h: F.col(c) / 100.0 for h, c in HEADS.items() if h != "departure"} | {"departure": F.col("pain_intensity") / 10.0}
     packed = F.create_map(*[x for h, e in scores.items() for x in (F.lit(h), e)])
     prefs = s.select("sample_index", K.state_preferences(packed).alias("m"))
-    out = prefs.select("sample_index", F.array_max(F.map_values("m")).alias("max_state_pref"), F.explode("m").alias("state", "preference"))
-    return rounded(out)
+    out = prefs.select("sample_index", F.array_max(F.map_values("m")).alias("max_state_pref"), F.explode_outer("m").alias("state", "preference"))
+    return rounded(out.where(F.col("state").isNotNull()))
 
 
 @query(
