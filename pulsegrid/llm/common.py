@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.session import shared_dir
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a two-number side table is hinted for broadcast (about 30 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
@@ -31,3 +35,10 @@ def text_keys(text: Column) -> tuple[Column, Column]:
 def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``side`` with a broadcast hint if it was counted to be small. It must be cheap to count (a written table)."""
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet into the shared folder and read again: compressed, and no lineage behind it."""
+    path = f"{shared_dir(df.sparkSession).rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pulsegrid.llm.common import table
 from pulsegrid.llm.decontam import contamination
 from pulsegrid.llm.linededup import drop_common_lines
 from pulsegrid.llm.mixing import mix
+from pulsegrid.llm.phrases import remove_repeats
 from pulsegrid.llm.pii import BASE, KINDS, pii_spans
 from pulsegrid.llm.quality import quality, train
 
@@ -92,3 +93,22 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_mix_sources")
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+@query(
+    "op9_substring_dedup",
+    r"""
+    WITH words AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+    windows AS (SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 34), ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM words)),
+    twice AS (SELECT g FROM windows GROUP BY g HAVING count(*) > 1),
+    gone AS (SELECT doc_id, list(DISTINCT p) AS gone FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM windows SEMI JOIN twice USING (g)) GROUP BY doc_id),
+    flat AS (SELECT doc_id, p, w[p] AS word FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM words)),
+    marked AS (SELECT flat.*, x.p IS NOT NULL AS gone FROM flat LEFT JOIN (SELECT doc_id, unnest(gone) AS p FROM gone) x USING (doc_id, p)),
+    kept AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (NOT gone) AS kept FROM marked GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM words LEFT JOIN kept USING (doc_id)
+    """,
+)
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = remove_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
