@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import table
 from pulsegrid.llm.decontam import contamination
+from pulsegrid.llm.jaccard import near_duplicates
 from pulsegrid.llm.linededup import drop_common_lines
 from pulsegrid.llm.mixing import mix
 from pulsegrid.llm.phrases import remove_repeats
@@ -67,6 +68,12 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+@query("op4_jaccard_join")
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document: its class and the number of other documents at a Jaccard similarity of 0.8 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
 @query("op5_quality_rules")
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
