@@ -37,8 +37,13 @@ def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder of the cluster."""
+    return f"{shared_dir(spark).rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet into the shared folder and read again: compressed, and no lineage behind it."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/pulsegrid-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm.common import table
 from pulsegrid.llm.decontam import contamination
+from pulsegrid.llm.idstore import token_files
 from pulsegrid.llm.jaccard import near_duplicates
 from pulsegrid.llm.linededup import drop_common_lines
 from pulsegrid.llm.mixing import mix
@@ -102,6 +103,17 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op8_token_ids")
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 @query(
     "op9_substring_dedup",
     r"""
