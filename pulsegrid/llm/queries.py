@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulsegrid.llm.chatformat import chat_windows, read_windows
 from pulsegrid.llm.common import table
 from pulsegrid.llm.decontam import contamination
 from pulsegrid.llm.idstore import token_files
@@ -16,6 +17,7 @@ from pulsegrid.llm.mixing import mix
 from pulsegrid.llm.phrases import remove_repeats
 from pulsegrid.llm.pii import BASE, KINDS, pii_spans
 from pulsegrid.llm.quality import quality, train
+from pulsegrid.llm.tokencount import count_sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -69,6 +71,20 @@ def _of_kind(kind: str):
     return lambda s: s["kind"] == kind
 
 
+@query("op3_chat_format")
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    # Conversation -1 says the template's own marks.
+    marks = "<|im_end|><|im_start|>assistant ok"
+    one = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(marks).alias("text"))
+    read = read_windows(chat_windows(turns.unionByName(one)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    parts = read.select("conv_id", "major", "minor", said.alias("said"), F.size("turns").alias("n"), F.array_join("losses", "").alias("loss"), "chars")
+    whole = parts.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("major", "minor", "said", "loss"))).alias("w"), F.sum("n").alias("n_turns"), F.sum("chars").alias("formatted_chars"))
+    loss = F.array_join("w.loss", "")
+    return whole.select("conv_id", "n_turns", F.sha2(F.array_join("w.said", ""), 256).alias("turns_sha256"), F.char_length(loss).cast("bigint").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), F.col("formatted_chars").cast("bigint"))
+
+
 @query("op4_jaccard_join")
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document: its class and the number of other documents at a Jaccard similarity of 0.8 or more."""
@@ -131,3 +147,10 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and of each of its sentences and lines."""
+    counted = count_sections(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    return counted.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.array_join(F.col("section_tokens").cast("array<string>"), ",").alias("section_tokens"))
