@@ -18,7 +18,9 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: Min-hash coordinates of a set: each is one token sampled alike in all sets, so that sets share it with the probability of their similarity.
 COORDINATES = 64
 #: Sets beyond which a bucket is split further, how often, and the sets of a block that one step of brute force compares.
-SPLIT_OVER, SPLITS, BLOCK = 256, 2, 512
+SPLIT_OVER, SPLITS, BLOCK = 256, 2, 1024
+#: Shingles of a block, so that long texts make more blocks: 16 MB.
+BLOCK_TOKENS = 2 << 20
 #: The share of a pair's runs that a bucket of any depth keeps together: one token at the root, then 1 (3 in 4) or 2 tokens a level.
 RECALL = 0.9999
 #: A pair at the threshold has fewer equal coordinates than this with probability below 1e-6; such pairs are not compared exactly.
@@ -76,33 +78,33 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """(path, d1, d2, size): the buckets in which sets are compared. One of those with the same members stays."""
+    """(path, d1, d2, size, tokens): the buckets in which sets are compared. One of those with the same members stays."""
     members = F.bit_xor(F.xxhash64("d1", "d2")), F.bit_xor(F.xxhash64("d2", "d1", F.lit(1)))
 
     def sized(nodes: DataFrame) -> DataFrame:
         sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), members[0].alias("a"), members[1].alias("b")).where("size > 1")
         return nodes.join(sizes.groupBy("size", "a", "b").agg(F.min("path").alias("path")).select("path", "size"), "path")
 
-    root = sets.select("d1", "d2", F.posexplode_outer(F.slice("mh", 1, runs)).alias("run", "token"))
-    nodes = stored(sized(root.select(F.xxhash64("run", "token").alias("path"), "d1", "d2")))
+    root = sets.select("d1", "d2", "n", F.posexplode_outer(F.slice("mh", 1, runs)).alias("run", "token"))
+    nodes = stored(sized(root.select(F.xxhash64("run", "token").alias("path"), "d1", "d2", "n")))
     done = [nodes.where(F.col("size") <= SPLIT_OVER)]
     for depth in range(SPLITS):
-        large = nodes.where(F.col("size") > SPLIT_OVER).select("path", "d1", "d2").join(sets.select("d1", "d2", "mh"), ["d1", "d2"])
+        large = nodes.where(F.col("size") > SPLIT_OVER).select("path", "d1", "d2", "n").join(sets.select("d1", "d2", "mh"), ["d1", "d2"])
         pick = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(COORDINATES)).cast("int")
         chosen = F.when(F.pmod(F.xxhash64("path", F.lit(2)), F.lit(4)) == 0, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
-        split = large.withColumn("at", F.explode(F.array_distinct(chosen))).select(F.xxhash64("path", "at", F.get("mh", F.col("at"))).alias("path"), "d1", "d2")
+        split = large.withColumn("at", F.explode(F.array_distinct(chosen))).select(F.xxhash64("path", "at", F.get("mh", F.col("at"))).alias("path"), "d1", "d2", "n")
         nodes = stored(sized(split))
         done.append(nodes if depth == SPLITS - 1 else nodes.where(F.col("size") <= SPLIT_OVER))
     every = done[0].unionByName(done[1])
     for more in done[2:]:
         every = every.unionByName(more)
-    groups = every.groupBy("path").agg(F.first("size").alias("size"), members[0].alias("a"), members[1].alias("b"))
-    return stored(every.join(groups.groupBy("size", "a", "b").agg(F.min("path").alias("path")).select("path"), "path"))
+    groups = every.groupBy("path").agg(F.first("size").alias("size"), F.sum("n").alias("tokens"), members[0].alias("a"), members[1].alias("b"))
+    return stored(every.drop("n").join(groups.groupBy("size", "tokens", "a", "b").agg(F.min("path").alias("path")).select("path", "tokens"), "path"))
 
 
 def _blocks(leaves: DataFrame) -> DataFrame:
-    """Deals a leaf over blocks of about BLOCK sets, and each set to every pair of blocks it has a part in."""
-    parts = F.ceil(F.col("size") / BLOCK)
+    """Deals a leaf over blocks of about BLOCK sets or BLOCK_TOKENS shingles, and each set to every pair of blocks it has a part in."""
+    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
     dealt = leaves.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("d2", "d1"), "parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     return dealt.select("path", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "d1", "d2")
@@ -180,7 +182,7 @@ def _overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarra
     _, column, counts = np.unique(flat, return_inverse=True, return_counts=True)
     shared = counts[column] > 1
     _, column = np.unique(column[shared], return_inverse=True)
-    owner, total, slab = owner[shared], np.zeros((len(sets), len(sets)), np.float64), 1 << 14
+    owner, total, slab = owner[shared], np.zeros((len(sets), len(sets)), np.float32), 1 << 12
     order = np.argsort(column, kind="stable")
     column, owner = column[order], owner[order]
     for start in range(0, int(column[-1]) + 1 if len(column) else 0, slab):
@@ -266,7 +268,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     id_field = T.StructField("id", base.schema["id"].dataType)
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
     rows = stored(base.mapInArrow(_signatures, T.StructType([id_field, *longs("k", "n", "d1", "d2"), T.StructField("mh", T.ArrayType(T.IntegerType()))])))
-    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "k")).alias("keeper"), F.min("id").alias("least"), F.first("mh").alias("mh"))
+    sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "k")).alias("keeper"), F.min("id").alias("least"), F.max("n").alias("n"), F.first("mh").alias("mh"))
     sets = stored(sets)
 
     leaves = _leaves(sets, runs_for(recall, threshold))
