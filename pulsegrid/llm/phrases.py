@@ -16,6 +16,8 @@ from pulsegrid.llm.tokens import gram_hashes, rows_of, span_hashes, text_parts,
 
 #: Words of the anchor phrase that every window picks among its own.
 ANCHOR = 8
+#: Windows of one context at most.
+RUN = 64
 #: Contexts of one anchor in one shard; an anchor with more is dealt over so many shards as it needs, and they are compared by window.
 SHARD_CONTEXTS = 4096
 #: Bytes of contexts compiled into one automaton.
@@ -33,23 +35,29 @@ def _lowest(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(values[: len(values) - rest], values[rest:]) if rest else values
 
 
-def anchors(words: np.ndarray, of: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, anchor hash, first window start, last window start) of each run of windows of a row that pick the same anchor.
+def anchors(words: np.ndarray, of: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, anchor hash, first window start, last window start, places of the anchor) of each run of windows of a row that pick the same anchor.
 
     A window picks the lowest hash among the phrases of ANCHOR words inside it (the last of equals): equal windows pick equal
     anchors wherever they stand, and each window has exactly one.
     """
     starts = within(of, window)
     if not len(starts):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
+        return tuple(np.zeros(0, np.int64) for _ in range(5))
     grams = gram_hashes(words, ANCHOR)
     packed = (grams & ~_POSITION) | (_POSITION - np.arange(len(grams), dtype=np.uint64))
     picked = (_POSITION - (_lowest(packed, window - ANCHOR + 1)[starts] & _POSITION)).astype(np.int64)
     rows = rows_of(starts, of)
-    new = np.flatnonzero(np.concatenate(([True], (picked[1:] != picked[:-1]) | (rows[1:] != rows[:-1]))))
+    # A run goes on while the phrase is the same one, also at another place (a word said over and over), up to RUN windows.
+    phrase = grams[picked]
+    new = np.flatnonzero(np.concatenate(([True], (phrase[1:] != phrase[:-1]) | (rows[1:] != rows[:-1]))))
+    lengths = np.diff(np.concatenate((new, [len(starts)])))
+    pieces = -(-lengths // RUN)
+    new = np.repeat(new, pieces) + RUN * (np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces))
     last = np.concatenate((new[1:], [len(starts)])) - 1
     base = of[rows[new]]
-    return rows[new], grams[picked[new]].astype(np.int64), starts[new] - base, starts[last] - base
+    moves = np.concatenate(([0], np.cumsum(picked[1:] != picked[:-1])))
+    return rows[new], grams[picked[new]].astype(np.int64), starts[new] - base, starts[last] - base, moves[last] - moves[new] + 1
 
 
 def _anchor_rows(window: int):
@@ -57,9 +65,9 @@ def _anchor_rows(window: int):
         for batch in batches:
             for first, _, data, offsets in text_parts(batch.column("text")):
                 starts, ends, of = word_spans(data, offsets)
-                rows, grams, lo, hi = anchors(span_hashes(data, starts, ends), of, window)
+                rows, grams, lo, hi, places = anchors(span_hashes(data, starts, ends), of, window)
                 at = pa.array(rows + first)
-                yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column("id").take(at), batch.column("k").take(at), pa.array(lo << 8 | (hi - lo))], ["anchor", "id", "k", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(grams), batch.column("id").take(at), batch.column("k").take(at), pa.array(lo << 16 | places << 8 | (hi - lo))], ["anchor", "id", "k", "at"])
 
     return run
 
@@ -73,7 +81,7 @@ def _context_rows(window: int):
                 text = (batch.column("text")[one].as_py() or "").encode().split()
                 found = batch.column("anchors")[one].values
                 grams, salts, shards, at = (found.field(i).to_numpy() for i in range(4))
-                lo, hi = at >> 8, (at >> 8) + (at & 255)
+                lo, hi = at >> 16, (at >> 16) + (at & 255)
                 for a in range(0, len(lo), 4096):
                     cut = [b" ".join(text[s : e + window]) for s, e in zip(lo[a : a + 4096].tolist(), hi[a : a + 4096].tolist(), strict=True)]
                     n = len(cut)
@@ -213,7 +221,9 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), key.alias("k"))
     id_type = base.schema["id"].dataType
     found = base.mapInArrow(_anchor_rows(window), T.StructType([T.StructField("anchor", T.LongType()), T.StructField("id", id_type), T.StructField("k", T.LongType()), T.StructField("at", T.LongType())]))
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").withColumn("shards", F.ceil(F.col("n") / SHARD_CONTEXTS)).drop("n")
+    places = F.shiftright("at", 8).bitwiseAND(F.lit(255))
+    counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.sum(places).alias("places")).where("places > 1").withColumn("shards", F.ceil(F.col("n") / SHARD_CONTEXTS)).drop("n", "places")
+    counts = stored(counts)  # a table of its own: Spark may then split the partition of an anchor that very many windows pick
     placed = found.join(counts, "anchor").withColumn("salt", F.pmod(F.xxhash64("id", "k", "at"), "shards"))
     placed = placed.groupBy(F.col("id").alias("__id"), F.col("k").alias("__k")).agg(F.collect_set(F.struct("anchor", "salt", "shards", "at")).alias("anchors"))
     texts = base.join(placed, F.col("id").eqNullSafe(F.col("__id")) & (F.col("k") == F.col("__k"))).select("id", "k", "text", "anchors")
