@@ -20,11 +20,11 @@ from pyspark.sql import types as T
 from pulsegrid.llm.common import scratch_path, whole
 
 #: Ids of a shard (it ends with a document), rounds of replacement, pairs replaced at once, and how often a pair must stand to be one.
-SHARD_IDS, ROUNDS, PAIRS, LEAST = 1 << 22, 3, 4096, 16
+SHARD_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 3, 4096, 16
 END_ID = 2
 MAGIC = b"RPG1"
-#: Words whose ids a Python worker remembers; then it forgets all.
-REMEMBERED = 1_000_000
+#: Words whose ids a task remembers; then it forgets all.
+REMEMBERED = 300_000
 
 
 # -- encoding
@@ -286,6 +286,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
                     held_ids, held_ids_of, held_docs, size, shard = [], [], [], 0, shard + 1
         if held_ids:
             yield row()
+        encoder(tokenizer).forget()  # Python workers live on
 
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

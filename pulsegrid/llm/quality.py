@@ -43,7 +43,7 @@ def hashed_grams(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """label, text -> label, features: the share of each bucket among the row's n-grams of its family."""
     for batch in batches:
-        for first, end, data, offsets in text_parts(batch.column("text"), rows=512):
+        for first, end, data, offsets in text_parts(batch.column("text"), rows=128):
             table = np.zeros((end - first, FAMILIES * BUCKETS), np.float32)
             for buckets, rows in hashed_grams(data, offsets):
                 if len(rows):

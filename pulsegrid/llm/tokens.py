@@ -11,7 +11,7 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: Bytes of text handled at once; a longer single text is one part of its own.
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
