@@ -104,7 +104,9 @@ def _leaves(sets: DataFrame, runs: int) -> DataFrame:
 
 def _blocks(leaves: DataFrame) -> DataFrame:
     """Deals a leaf over blocks of about BLOCK sets or BLOCK_TOKENS shingles, and each set to every pair of blocks it has a part in."""
-    parts = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))
+    # One step holds the sets of two blocks anyway, so a leaf of that size is compared at once.
+    at_once = (F.col("size") <= 2 * BLOCK) & (F.col("tokens") <= 2 * BLOCK_TOKENS)
+    parts = F.when(at_once, F.lit(1)).otherwise(F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("bigint")
     dealt = leaves.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("d2", "d1"), "parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     return dealt.select("path", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "d1", "d2")
