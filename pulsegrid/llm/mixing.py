@@ -20,7 +20,7 @@ def sainte_lague(parts: DataFrame, group: list[str], key: list[str], value: str,
     are ranked, so the work grows with the rows and not with the seats. Ties go to the lower ``key``; rows of value 0 get none.
     """
     over = Window.partitionBy(*group)
-    part = F.col(value) / F.sum(value).over(over)
+    part = F.try_divide(F.col(value), F.sum(value).over(over))
     ranged = parts.withColumn("__part", F.coalesce(part, F.lit(0.0))).withColumn("__n", F.count(F.lit(1)).over(over))
     share = F.floor(F.col("__part") * F.col(seats))
     slack = F.ceil(F.col("__part") * F.col("__n") / 2) + 2

@@ -133,15 +133,15 @@ def test_components(spark):
 
 
 def test_quality(spark, make):
-    good = [(i, prose(60, 500 + i)) for i in range(60)]
+    good = [(200 + i, prose(60, 500 + i)) for i in range(60)]
     junk = [(100 + i, " ".join(w.upper() + "!!" for w in prose(60, 700 + i).split())) for i in range(60)]
     docs = make([*good, *junk, *EDGES])
-    labels = spark.createDataFrame([(i, 1) for i in range(0, 60, 2)] + [(100 + i, 0) for i in range(0, 60, 2)] + [(None, 1), (3, None)], "doc_id long, quality int")
+    labels = spark.createDataFrame([(200 + i, 1) for i in range(0, 60, 2)] + [(100 + i, 0) for i in range(0, 60, 2)] + [(None, 1), (203, None)], "doc_id long, quality int")
     model = quality.train(docs, labels)
     out = {r["doc_id"]: r for r in quality.quality(docs, model, prefix="q_").collect()}
     held = [i for i in range(1, 60, 2)]
-    assert sum(out[i]["q_kept"] for i in held) >= 29 and sum(out[100 + i]["q_kept"] for i in held) <= 1
-    assert out[1]["q_base_failed"] is False and out[8]["q_base_failed"] and out[9]["q_n_repeat_words"] == 240
+    assert sum(out[200 + i]["q_kept"] for i in held) >= 29 and sum(out[100 + i]["q_kept"] for i in held) <= 1
+    assert out[201]["q_base_failed"] is False and out[8]["q_base_failed"] and out[9]["q_n_repeat_words"] == 240
     assert quality.keep_good(docs, labels).columns == docs.columns
     assert quality.train(docs, labels.where("quality = 1")) is None
     assert quality.quality(docs, None).where("kept").count() > 0 and quality.quality(docs.limit(0), model).count() == 0
