@@ -119,9 +119,11 @@ def pii_spans(docs: DataFrame, text_col: str = "text", prefix: str = "") -> Data
     """``docs`` with ``spans``: array of (start, kind, end) in code points, end exclusive, by start and then kind.
 
     email, ip, card and phone are found as their expressions would, leftmost and non-overlapping by kind; url and account are added
-    around schemes and identifier cues. One pass in Arrow batches without a shuffle; a null or empty text has no spans.
+    around schemes and identifier cues. One pass in Arrow batches without a shuffle; a null or empty text has no spans;
+    a column of that name in the input is replaced.
     """
     name = prefix + "spans"
+    docs = docs.drop(name)
     kind = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("end", T.LongType())]))
     arrow = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())]))
 

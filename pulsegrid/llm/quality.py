@@ -139,10 +139,12 @@ STATISTICS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_wor
 def quality(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP_FROM, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability and kept (names after ``prefix``).
 
-    One pass in Arrow batches, no shuffle; rows keep all their columns. A null or empty text has no words, so its base rules
+    One pass in Arrow batches, no shuffle; rows keep all their columns, but for those with
+    one of these names, which are replaced. A null or empty text has no words, so its base rules
     fail. Without a model the base rules decide alone (probability null).
     """
     names = [prefix + x for x in (*STATISTICS, "base_failed", "probability", "kept")]
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -71,11 +71,12 @@ def count_sections(docs: DataFrame, path: str, boundary: str = SENTENCES, rule:
 
     The document is the text, or ``fields`` joined by line breaks; it is encoded whole and once. Without ``fields``, sections
     end where ``boundary`` matches; with them, each field (and the break behind it) is one section. Every token counts in exactly one
-    section. A null field or text is empty; an empty text is one empty section.
+    section. A null field or text is empty; an empty text is one empty section. Input columns of these names are replaced.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
     names = [prefix + n for n in ("n_tokens", "n_sections", "n_crossing", "section_tokens")]
+    docs = docs.drop(*names)
     ends_at = re.compile(boundary)
 
     def sections(values: list[str | None]) -> tuple[str, np.ndarray]:
