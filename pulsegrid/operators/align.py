@@ -127,7 +127,6 @@ def interval_join(
     segments: DataFrame,
     keys: Sequence[str],
     time: str,
-    row_id: str,
     start: str,
     end: str,
     seg_order: str,
@@ -141,19 +140,17 @@ def interval_join(
     """
     size = F.lit(float(bucket))
     seg = segments.where(F.col(start) <= F.col(end)).select(
-        *keys, F.col(start).alias("__s"), F.col(end).alias("__e"), F.col(seg_order).alias("__o"), *values,
-        F.explode_outer(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long"))).alias("__b"),
+        *[F.col(k).alias(f"__k_{k}") for k in keys], F.struct(F.col(seg_order).alias("o"), F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*values).alias("vals")).alias("__seg"),
+        F.explode_outer(F.sequence(F.floor(F.col(start) / size).cast("long"), F.floor(F.col(end) / size).cast("long"))).alias("__kb"),
     )
-    pts = points.withColumn("__b", F.floor(F.col(time) / size).cast("long"))
-    right = seg.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("__b").alias("__kb"), "__s", "__e", "__o",
-                       F.struct(*values).alias("__vals"))
-    on = (F.col("__b") == F.col("__kb")) & (F.col(time) >= F.col("__s")) & (F.col(time) <= F.col("__e"))
+    # One row per bucket, with the few segments that touch it: a point meets one row at most and cannot be lost or doubled.
+    right = seg.groupBy(*[f"__k_{k}" for k in keys], "__kb").agg(F.collect_list("__seg").alias("__segs"))
+    on = F.col("__b") == F.col("__kb")
     for k in keys:
         on = on & (F.col(k) == F.col(f"__k_{k}"))
-    joined = pts.join(right, on, "left")
-    w = Window.partitionBy(*keys, "__b", row_id).orderBy(F.col("__o").desc_nulls_last())
-    best = joined.withColumn("__rn", F.row_number().over(w)).where("__rn = 1")
-    return best.select(*points.columns, *[F.col(f"__vals.{v}").alias(v) for v in values])
+    joined = points.withColumn("__b", F.floor(F.col(time) / size).cast("long")).join(right, on, "left")
+    best = F.array_max(F.filter("__segs", lambda x: (F.col(time) >= x["s"]) & (F.col(time) <= x["e"])))
+    return joined.withColumn("__best", best).select(*points.columns, *[F.col(f"__best.vals.{v}").alias(v) for v in values])
 
 
 def protocol_segments(lines: DataFrame, keys: Sequence[str], text: str = "value") -> DataFrame:
@@ -194,12 +191,12 @@ def protocol_segments(lines: DataFrame, keys: Sequence[str], text: str = "value"
     )
 
 
-def apply_protocol(stream: DataFrame, segments: DataFrame, keys: Sequence[str], row_id: str = "sample_index", bucket: float = 120.0) -> DataFrame:
+def apply_protocol(stream: DataFrame, segments: DataFrame, keys: Sequence[str], bucket: float = 120.0) -> DataFrame:
     values = ["wesad_protocol_segment", "wesad_protocol_start_s", "wesad_protocol_end_s", "target_stress_binary",
               "target_stress_score_0_10", "aux_state_label"]
     seg = segments.withColumns({"__start": F.col("wesad_protocol_start_s"), "__end": F.col("wesad_protocol_end_s")})
     base = stream.drop(*values)
-    out = interval_join(base, seg, keys, "sample_offset_s", row_id, "__start", "__end", "seg_no", values, bucket)
+    out = interval_join(base, seg, keys, "sample_offset_s", "__start", "__end", "seg_no", values, bucket)
     return out.withColumn("wesad_protocol_segment", F.coalesce("wesad_protocol_segment", F.lit("unknown")))
 
 

@@ -40,3 +40,10 @@ def test_later_segment_wins_and_bounds_are_inclusive(spark):
     got = {r["sample_offset_s"]: r for r in A.apply_protocol(pts, seg, ["session_id"], bucket=50.0).collect()}
     assert [got[t]["wesad_protocol_segment"] for t in (0.0, 60.0, 120.0, 121.0)] == ["base", "tsst", "tsst", "unknown"]
     assert got[60.0]["target_stress_score_0_10"] == 8.0 and got[121.0]["target_stress_binary"] is None
+
+
+def test_interval_join_keeps_points_that_repeat_or_have_no_key(spark):
+    points = spark.createDataFrame([("s", 1, 5.0), ("s", 1, 5.0), ("s", 1, 6.0), (None, 1, 5.0), (None, 1, 5.0)], "session_id string, sample_index long, t double")
+    segments = spark.createDataFrame([("s", 0.0, 9.0, 1, "first"), ("s", 5.5, 7.0, 2, "later")], "session_id string, a double, b double, o int, label string")
+    got = A.interval_join(points, segments, ["session_id"], "t", "a", "b", "o", ["label"], 2.0).collect()
+    assert sorted((str(r["session_id"]), r["t"], str(r["label"])) for r in got) == [("None", 5.0, "None")] * 2 + [("s", 5.0, "first")] * 2 + [("s", 6.0, "later")]
