@@ -11,7 +11,8 @@ from pulsegrid.plans.q_evaluation import FEAT_SQL, FEATURE_NAMES, feature_long,
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.views import rounded
 
-INPUTS = [n for n in FEATURE_NAMES if "__base__" in n and n not in ("ibi__base__mean",)][:8]
+BASE_FEATURES = [n for n in FEATURE_NAMES if "__base__" in n and n not in ("ibi__base__mean",)]
+INPUTS = BASE_FEATURES[:8]
 
 
 def _rows(spark, sf):
@@ -19,18 +20,18 @@ def _rows(spark, sf):
     return wide.withColumn("subject_group", F.concat_ws("::", "dataset_id", F.col("subject_id").cast("string")))
 
 
-_IMPUTED = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in INPUTS[:3])
+_IMPUTED = ", ".join(f"coalesce({c}, m_{c}) AS {c}" for c in BASE_FEATURES)
 
 
 @query(
     "impute_scale",
-    f"""WITH {FEAT_SQL}, wide AS (SELECT row_id, {', '.join(f"max(value) FILTER (WHERE feature = '{c}') AS {c}" for c in INPUTS[:3])} FROM feat GROUP BY row_id),
-    med AS (SELECT {', '.join(f'median({c}) AS m_{c}' for c in INPUTS[:3])} FROM wide), f AS (SELECT row_id, {_IMPUTED} FROM wide, med)
-    SELECT row_id, {', '.join(f'round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0.0 AS {c}' for c in INPUTS[:3])} FROM f""",
+    f"""WITH {FEAT_SQL}, wide AS (SELECT row_id, {', '.join(f"max(value) FILTER (WHERE feature = '{c}') AS {c}" for c in BASE_FEATURES)} FROM feat GROUP BY row_id),
+    med AS (SELECT {', '.join(f'median({c}) AS m_{c}' for c in BASE_FEATURES)} FROM wide), f AS (SELECT row_id, {_IMPUTED} FROM wide, med)
+    SELECT row_id, {', '.join(f'round(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 6) + 0.0 AS {c}' for c in BASE_FEATURES)} FROM f""",
 )
 def impute_scale(spark, sf):
     """Median imputation and standardisation as fitted constants: two one-row aggregates, then one projection."""
-    cols = INPUTS[:3]
+    cols = BASE_FEATURES
     rows = _rows(spark, sf).select("row_id", *cols)
     med = exact_quantiles(rows, [], cols, (0.5,)).first()
     filled = rows.fillna({c: med[f"{c}__q500"] for c in cols})
