@@ -17,7 +17,7 @@ def asof_join(
     time: str,
     values: Sequence[str],
     direction: str = "nearest",
-    tolerance: float | None = None,
+    tolerance: float | Column | None = None,
     bucket: float = 3600.0,
     tie_breaker: str | None = None,
     time_out: str | None = None,
@@ -27,6 +27,7 @@ def asof_join(
     Work is split by (keys, time bucket), so one long session spreads over many tasks. With a
     tolerance the right side is copied only into buckets it can reach. Without one, the last row of
     the preceding buckets (first row of the following ones) is carried in from a per-bucket summary.
+    A tolerance may be an expression over the right row, such as one of its session's sample rate.
     Equal distances resolve to the earlier row; among equal times at/before, the last row wins.
     """
     if direction not in ("nearest", "backward", "forward"):
@@ -35,12 +36,13 @@ def asof_join(
     t, size = F.col(time), F.lit(float(bucket))
     home = F.floor(t / size).cast("long")
     seq = F.col(tie_breaker) if tie_breaker else F.lit(0)
-    payload = F.struct(t.alias("t"), seq.alias("s"), *[F.col(v).alias(v) for v in values])
+    tol = tolerance if isinstance(tolerance, Column) or tolerance is None else F.lit(float(tolerance))
+    reached = [] if tol is None else [tol.alias("__tol")]
+    payload = F.struct(t.alias("t"), seq.alias("s"), *reached, *[F.col(v).alias(v) for v in values])
     lcols = left.columns
     lrows = left.select(*keys, t.alias("__t"), home.alias("__b"), F.lit(1).alias("__side"), F.lit(0).cast("long").alias("__seq"),
                         F.struct(*lcols).alias("__row"), F.lit(None).cast(right.select(payload).schema[0].dataType).alias("__v"))
-    if tolerance is not None:
-        tol = F.lit(float(tolerance))
+    if tol is not None:
         reach = F.explode_outer(F.sequence(F.floor((t - tol) / size).cast("long"), F.floor((t + tol) / size).cast("long")))
     else:
         reach = home
@@ -54,7 +56,7 @@ def asof_join(
     back = F.expr(f"last(__v, true) {over} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
     fwd = F.expr(f"lead(__v) IGNORE NULLS {over})")
     found = both.withColumns({"__back": back, "__fwd": fwd}).where("__side = 1")
-    if tolerance is None:
+    if tol is None:
         found = _carry_in(found, both, keys, direction)
     dist_b, dist_f = F.col("__t") - F.col("__back.t"), F.col("__fwd.t") - F.col("__t")
     # A right row at the left row's own time sorts before it, so it counts as "at or before" and, for
@@ -66,8 +68,8 @@ def asof_join(
     else:
         pick = F.when(F.col("__fwd").isNull() | (dist_b <= dist_f), F.col("__back")).otherwise(F.col("__fwd"))
     found = found.withColumn("__hit", pick)
-    if tolerance is not None:
-        found = found.withColumn("__hit", F.when(F.abs(F.col("__t") - F.col("__hit.t")) <= F.lit(float(tolerance)), F.col("__hit")))
+    if tol is not None:
+        found = found.withColumn("__hit", F.when(F.abs(F.col("__t") - F.col("__hit.t")) <= F.col("__hit.__tol"), F.col("__hit")))
     extra = [F.col("__hit.t").alias(time_out)] if time_out else []
     return found.select("__row.*", *[F.col(f"__hit.{v}").alias(v) for v in values], *extra)
 

@@ -8,10 +8,11 @@ headers and sample rates need no join.
 from __future__ import annotations
 
 import posixpath
+import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.functions.text import canonical_name
@@ -117,23 +118,24 @@ def inventory(members: DataFrame) -> tuple[DataFrame, DataFrame]:
     return totals, top.groupBy("archive", extension.alias("extension")).agg(F.count(F.lit(1)).alias("members"))
 
 
-def csv_columns(lines: DataFrame, columns: list[str], sep: str = ",", width: int = 64) -> DataFrame:
-    """Named string columns from CSV lines whose header (line 0) may differ per member.
+def csv_cells(line: Column, sep: str = ",") -> Column:
+    """All cells of a CSV line, however many: quotes are taken off, doubled ones are one, an empty cell is NULL."""
+    mark = re.escape(sep)
+    # A leading separator makes every cell "separator, content", so that no match is empty.
+    raw = F.regexp_extract_all(F.concat(F.lit(sep), line), F.lit(f'{mark}("[^"]*+(?:""[^"]*+)*+"|[^{mark}]*+)'), F.lit(1))
+    bare = F.transform(raw, lambda c: F.when(c.rlike('(?s)^".*"$') & (F.length(c) > 1), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
+    return F.transform(bare, lambda c: F.nullif(c, F.lit("")))
+
+
+def csv_columns(lines: DataFrame, columns: list[str], sep: str = ",") -> DataFrame:
+    """Named string columns from CSV lines whose header (line 0) may differ per member, of any width.
 
     Header names are canonicalised; a column missing from a member is NULL. ``sample_index`` is the data
     line number, so no ordering job is needed.
     """
-    fields = ", ".join(f"c{i} string" for i in range(width))
-    options = {"sep": sep, "mode": "PERMISSIVE"}
     # Parsed once per line into a column of its own: field accesses must not each bring a parser along.
-    parsed = lines.where((F.col("line_no") > 0) & (F.trim("value") != "")).withColumns(
-        {"__row": F.from_csv("value", fields, options), "__names": F.from_csv(F.get("head", 0), fields, options)})
-
-    def cells(struct: str):
-        return F.array(*[F.col(f"{struct}.c{i}") for i in range(width)])
-
-    rows = parsed.withColumns(
-        {"__cells": cells("__row"), "__head": F.transform(cells("__names"), lambda c: canonical_name(F.coalesce(c, F.lit(""))))})
+    rows = lines.where((F.col("line_no") > 0) & (F.trim("value") != "")).withColumns(
+        {"__cells": csv_cells(F.col("value"), sep), "__head": F.transform(csv_cells(F.get("head", 0), sep), lambda c: canonical_name(F.coalesce(c, F.lit(""))))})
     picked = [F.get("__cells", F.nullif(F.array_position("__head", c), F.lit(0)).cast("int") - 1).alias(c) for c in columns]
     return rows.select("archive", "nested", "member", (F.col("line_no") - 1).alias("sample_index"), *picked)
 

@@ -10,14 +10,26 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import text as X
 
 
-def clinical_workbook(raw: DataFrame) -> DataFrame:
-    """One cleaned row per subject (last row wins per id in ``row_order`` when given)."""
-    df = X.canonical_columns(raw)
-    return df.where(X.clean_text("uid").isNotNull()).select(
-        F.lower(X.clean_text("uid")).alias("subject_id"), X.clean_numeric("age").alias("workbook_age"),
+def last_per_subject(rows: DataFrame, order: str) -> DataFrame:
+    """The last row of every subject by ``order``, whole (its nulls included); among equal orders the greatest row."""
+    kept = [c for c in rows.columns if c not in ("subject_id", order)]
+    last = rows.groupBy("subject_id").agg(F.max(F.struct(F.col(order).alias("o"), *kept)).alias("row"))
+    return last.select("subject_id", *[F.col(f"row.{c}").alias(c) for c in kept])
+
+
+def _row_order(raw: DataFrame, row_order: str | None) -> DataFrame:
+    return raw.withColumn("__order", F.col(f"`{row_order}`") if row_order else F.monotonically_increasing_id())
+
+
+def clinical_workbook(raw: DataFrame, row_order: str | None = None) -> DataFrame:
+    """One cleaned row per subject: the last by the column ``row_order``, without one the last as the file is read."""
+    df = X.canonical_columns(_row_order(raw, row_order).withColumnRenamed("__order", "row_order"))
+    rows = df.where(X.clean_text("uid").isNotNull()).select(
+        "row_order", F.lower(X.clean_text("uid")).alias("subject_id"), X.clean_numeric("age").alias("workbook_age"),
         X.clean_text("gender").alias("workbook_sex"), X.clean_text("diagnosis").alias("workbook_diagnosis"),
         X.clean_numeric("pain_scale_rest").alias("workbook_pain_rest"), X.clean_numeric("pain_scale_exercise").alias("workbook_pain_exercise"),
         X.clean_text("exercise_durations_seconds").alias("workbook_exercise_duration_text"))
+    return last_per_subject(rows, "row_order")
 
 
 # Questionnaire column titles.
@@ -34,15 +46,19 @@ SURVEY_COLUMNS = {
 SEVERITY_TITLE = "Rate the severity of your pain"
 
 
-def survey_metrics(raw: DataFrame) -> DataFrame:
-    """Questionnaire answers as numbers; severity answers are averaged over the answered ones."""
+def survey_metrics(raw: DataFrame, row_order: str | None = None) -> DataFrame:
+    """Questionnaire answers as numbers, one row per subject: the last by ``row_order``, without one the last as the file is read.
+
+    Severity answers are averaged over the answered ones.
+    """
     quoted = {c: F.col(f"`{c}`").cast("string") for c in raw.columns}
     out = {n: fn(quoted[title]) for n, (title, fn) in SURVEY_COLUMNS.items() if title in quoted}
     severity = [X.ordinal_text_score(quoted[c]) for c in raw.columns if SEVERITY_TITLE in c]
     if severity:
         out["survey_pain_context_score"] = X.row_mean(severity)
     subject = X.clean_text(quoted["id"])
-    return raw.where(subject.isNotNull()).select(subject.alias("subject_id"), *[e.alias(n) for n, e in out.items()])
+    rows = _row_order(raw, row_order).where(subject.isNotNull()).select("__order", subject.alias("subject_id"), *[e.alias(n) for n, e in out.items()])
+    return last_per_subject(rows, "__order")
 
 
 def score_matrix(wide: DataFrame, subject: str, file_order: str | None = None) -> DataFrame:

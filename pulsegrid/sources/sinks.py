@@ -10,7 +10,7 @@ from pulsegrid.sources.datasets import conform, label_table, subject_table
 
 
 def write_stream(stream: DataFrame, path: str) -> None:
-    """zstd Parquet by dataset. A row key spreads a large dataset over many files; no task owns one dataset."""
+    """zstd Parquet by dataset. There is no shuffle: every task writes its own file per dataset, so none owns a dataset."""
     extra = [c for c in stream.columns if c not in conform(stream).columns]
     if extra:
         raise ValueError(f"columns outside the stream schema: {extra}")
@@ -23,8 +23,15 @@ def read_streams(spark: SparkSession, path: str) -> DataFrame:
 
 
 def discover_streams(spark: SparkSession, root: str) -> DataFrame:
-    """All ``measurement_stream.parquet`` below a root, columns united."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(root)
+    """All ``measurement_stream.parquet`` below a root, single files or written tables, columns united.
+
+    A table that write_stream() partitioned names the dataset in its path only; it is read from there.
+    """
+    path = F.col("_metadata.file_path")
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").option("mergeSchema", True).parquet(root)
+    streams = found.where(path.rlike(r"/measurement_stream\.parquet(/|$)"))
+    named = F.nullif(F.url_decode(F.regexp_extract(path, r"/dataset_id=([^/]+)/", 1)), F.lit(""))
+    return streams.withColumn("dataset_id", F.coalesce("dataset_id", named) if "dataset_id" in found.columns else named)
 
 
 def write_windows(windows: DataFrame, path: str) -> None:

@@ -36,18 +36,17 @@ def combine_sessions(lines: DataFrame, keys: list[str], bucket: float = 60.0) ->
     """All sensors of every session on the time base of the session's densest sensor, nearest in time.
 
     The base differs by session, so the fold runs once per possible base over the sessions that use it;
-    tolerance is half a sample period (at least 20 ms), 15 ms for beat intervals.
+    tolerance is half a sample period of the session's own sensor (at least 20 ms), 15 ms for beat intervals.
     """
     sensors = [*CHANNELS, "ibi"]
     # Every sensor is a pass over these lines: inflate the archives once, not once per sensor.
     lines = pinned(lines.where(F.col("sensor").isin(*sensors)))
     minimum = F.when(F.col("sensor") == "ibi", 1).otherwise(2)
-    sizes = lines.where(F.col("line_no") >= minimum).groupBy(*keys, "sensor").agg(
-        F.count(F.lit(1)).alias("n"), F.max(clean_numeric(F.get(F.split(F.get("head", 1), ","), 0))).alias("rate"))
+    sizes = lines.where(F.col("line_no") >= minimum).groupBy(*keys, "sensor").agg(F.count(F.lit(1)).alias("n"))
     order = F.array_position(F.array(*[F.lit(s) for s in sensors]), F.col("sensor"))
     base = sizes.groupBy(*keys).agg(
         F.min_by("sensor", F.struct((-F.col("n")).alias("n"), order.alias("o"))).alias("base"))
-    present = {(r["base"], r["sensor"]): r["rate"] for r in sizes.join(base, keys).groupBy("base", "sensor").agg(F.max("rate").alias("rate")).collect()}
+    present = {(r["base"], r["sensor"]) for r in sizes.join(base, keys).select("base", "sensor").distinct().collect()}
     frames = {s: sensor_frame(lines, keys, s) for s in sensors}
     out = None
     for b in sensors:
@@ -59,7 +58,7 @@ def combine_sessions(lines: DataFrame, keys: list[str], bucket: float = 60.0) ->
             if s == b or (b, s) not in present:
                 continue
             values = ["ibi"] if s == "ibi" else list(CHANNELS[s])
-            tol = 0.015 if s == "ibi" else max(0.02, 0.5 / (present[(b, s)] or 1.0))
+            tol = 0.015 if s == "ibi" else F.greatest(F.lit(0.02), 0.5 / F.col("sample_rate_hz"))
             folded = asof_join(folded, frames[s], keys, "sample_offset_s", values, "nearest", tol, bucket, "sample_index")
         indexed = running_index(folded.withColumnRenamed("sample_index", "__old"), keys, "sample_offset_s", "sample_index", ["__old"]).drop("__old")
         out = indexed if out is None else out.unionByName(indexed, allowMissingColumns=True)

@@ -28,6 +28,46 @@ def test_inventory_skips_junk(spark, tmp_path):
     assert {r["extension"]: r["members"] for r in ext.collect()} == {".csv": 1, ".txt": 1}
 
 
+def test_csv_of_any_width(spark, tmp_path):
+    names = ",".join(f"c{i}" for i in range(70))
+    rows = ",".join(str(i) for i in range(70)) + "\n" + ",".join(['"a, ""b"""', "", '"x"', *["y"] * 66, '""']) + "\nshort,1\n"
+    write_zip(tmp_path / "wide.zip", {"w.csv": names + "\n" + rows, "t.csv": "c0;c1\n,1;2,5\n"})
+    lines = archives.member_lines(archives.archive_members(spark, str(tmp_path)))
+    got = archives.csv_columns(lines.where("member = 'w.csv'"), ["c0", "c1", "c2", "c69", "none"]).orderBy("sample_index").collect()
+    assert [tuple(r)[4:] for r in got] == [("0", "1", "2", "69", None), ('a, "b"', None, "x", None, None), ("short", "1", None, None, None)]
+    one = archives.csv_columns(lines.where("member = 't.csv'"), ["c0", "c1"], ";").first()
+    assert one["c0"] == ",1" and one["c1"] == "2,5"
+
+
+def test_last_side_row_wins(spark):
+    titles = "n int, UID string, Age string, Gender string, Diagnosis string, `Pain Scale Rest` string, `Pain Scale Exercise` string, `Exercise Durations (seconds)` string"
+    book = sidetables.clinical_workbook(spark.createDataFrame([(2, "p01", "61", None, "RA", "6", "8", "1"), (1, "P01", "60", "F", "RA", "6", "8", "1")], titles), "n").collect()
+    assert [(r["subject_id"], r["workbook_age"], r["workbook_sex"]) for r in book] == [("p01", 61.0, None)]
+    survey = sidetables.survey_metrics(spark.createDataFrame([("S1", "44"), ("S2", "30"), ("S1", "45")], "id string, Age string").coalesce(1)).collect()
+    assert {r["subject_id"]: r["survey_age"] for r in survey} == {"S1": 45.0, "S2": 30.0}
+
+
+def test_wrist_tolerance_is_the_sessions_own(spark):
+    def session(name, rate):
+        bvp = [(name, "bvp", i, str(float(i)), ["0", "64"]) for i in range(2, 258)]
+        return bvp + [(name, "eda", i, str(float(i)), ["0", str(rate)]) for i in range(2, 2 + 4 * rate)]
+
+    schema = "session_id string, sensor string, line_no long, value string, head array<string>"
+    slow, both = session("slow", 1), session("slow", 1) + session("fast", 4)
+    alone = wearable.combine_sessions(spark.createDataFrame(slow, schema), ["session_id"]).where("eda IS NOT NULL").count()
+    beside = wearable.combine_sessions(spark.createDataFrame(both, schema), ["session_id"]).where("eda IS NOT NULL AND session_id = 'slow'").count()
+    assert alone == beside > 200
+
+
+def test_streams_are_found_by_name(spark, tmp_path):
+    rows = spark.createDataFrame([("a b", 1), ("c", 2)], "dataset_id string, sample_index long")
+    sinks.write_stream(rows, str(tmp_path / "x/measurement_stream.parquet"))
+    rows.where("sample_index = 2").coalesce(1).write.parquet(str(tmp_path / "y/measurement_stream.parquet"))
+    rows.write.parquet(str(tmp_path / "y/labels"))
+    got = sinks.discover_streams(spark, str(tmp_path)).select("dataset_id", "sample_index").collect()
+    assert sorted(map(tuple, got)) == [("a b", 1), ("c", 2), ("c", 2)]
+
+
 def test_watch_source(spark, tmp_path):
     csv = "﻿BVP,EDA,X,Y,Z,Temperature,Pain Scale,Pain Type,Person ID\n1,2,0.1,0.2,0.3,33,3,head,S1\n1.5,2.5,0.1,0.2,0.3,33,3,head,S1\n9,9,0,0,0,33,,head,S1\n"
     write_zip(tmp_path / "PhysioPain Dataset.zip", {"PROCESSED WATCH DATA/combined/combined_all_data/all_watch_data_64hz.csv": csv})
