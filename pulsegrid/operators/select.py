@@ -37,8 +37,8 @@ def feature_columns(df: DataFrame, feature_set: str) -> list[str]:
     return [c for c in ordered if counts[c] > 0]
 
 
-def profile_arm_columns(df: DataFrame, profile: str, arm: str, max_features: int = 72) -> list[str]:
-    """Numeric base/shape columns of a device profile and literature arm, best-covered first."""
+def profile_arm_columns(df: DataFrame, profile: str, arm: str, max_features: int | None = None) -> list[str]:
+    """Numeric base/shape columns of a device profile and literature arm, best-covered first; all unless a number is asked for."""
     prof, arms = S.PROFILE_PREFIXES[profile], S.ARM_PREFIXES[arm]
     chosen = []
     for c, t in df.dtypes:

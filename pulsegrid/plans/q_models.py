@@ -12,7 +12,6 @@ from pulsegrid.plans.registry import query
 from pulsegrid.plans.views import rounded
 
 BASE_FEATURES = [n for n in FEATURE_NAMES if "__base__" in n and n not in ("ibi__base__mean",)]
-INPUTS = BASE_FEATURES[:8]
 
 
 def _rows(spark, sf):
@@ -42,17 +41,17 @@ def impute_scale(spark, sf):
 @query("ml_logistic")
 def ml_logistic(spark, sf):
     rows = _rows(spark, sf)
-    return rounded(ml.fit("portable_logistic", rows, INPUTS, "y").transform(rows).select("row_id", "y", "p"))
+    return rounded(ml.fit("portable_logistic", rows, BASE_FEATURES, "y").transform(rows).select("row_id", "y", "p"))
 
 
 @query("ml_oof")
 def ml_oof(spark, sf):
-    return rounded(ml.evaluate(ml.out_of_fold(_rows(spark, sf), INPUTS, "y", "subject_group", "elastic_net", 3), ["fold"], "y", learner="elastic_net"))
+    return rounded(ml.evaluate(ml.out_of_fold(_rows(spark, sf), BASE_FEATURES, "y", "subject_group", "elastic_net", 3), ["fold"], "y", learner="elastic_net"))
 
 
 @query("ml_leave_dataset_out")
 def ml_leave_dataset_out(spark, sf):
-    return rounded(ml.evaluate(ml.leave_dataset_out(_rows(spark, sf), INPUTS, "y", "portable_logistic"), ["split"], "y"))
+    return rounded(ml.evaluate(ml.leave_dataset_out(_rows(spark, sf), BASE_FEATURES, "y", "portable_logistic"), ["split"], "y"))
 
 
 @query("dataset_only_control")
@@ -65,12 +64,12 @@ def dataset_only_control(spark, sf):
 def ml_portable_export(spark, sf):
     """Exported constants scored by a generated expression: same probabilities as the fitted pipeline."""
     rows = _rows(spark, sf)
-    return rounded(rows.select("row_id", portable_logistic(rows, ml.export_portable(rows, INPUTS, "y")).alias("p")))
+    return rounded(rows.select("row_id", portable_logistic(rows, ml.export_portable(rows, BASE_FEATURES, "y")).alias("p")))
 
 
 @query("glm_binomial")
 def glm_binomial(spark, sf):
-    return rounded(ml.glm_table(ml.glm_binomial(_rows(spark, sf), "y", INPUTS[:4], 100), INPUTS[:4], spark))
+    return rounded(ml.glm_table(ml.glm_binomial(_rows(spark, sf), "y", BASE_FEATURES), BASE_FEATURES, spark))
 
 
 @query(
