@@ -269,6 +269,9 @@ def glm_binomial(df: DataFrame, y: str, features: Sequence[str], min_rows: int =
 
 
 def glm_table(model, features: Sequence[str], spark) -> DataFrame:
+    """Coefficient and p value of every feature and the intercept; no rows where there is no model."""
+    if model is None:
+        return spark.createDataFrame([], "feature string, beta double, p double")
     s = model.stages[-1].summary
     glr = model.stages[-1]
     est = [*glr.coefficients.toArray().tolist(), float(glr.intercept)]
