@@ -11,9 +11,10 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +40,37 @@ class ColumnBuilder(Transformer):
         return df.withColumns({n: F.expr(e) for n, e in self.exprs.items()})
 
 
+class MedianFill(ColumnBuilder):
+    """``{c}__filled``: the exact median of the training rows where a value is NULL or NaN."""
+
+    def __init__(self, medians: dict[str, float]):
+        super().__init__({f"{c}__filled": f"coalesce(nanvl(`{c}`, cast(NULL AS double)), {m!r}D)" for c, m in medians.items()})
+        self.medians = medians
+
+
+class RandomCuts(Transformer):
+    """``target``: per input, how many of its fixed random cut points lie below the value."""
+
+    def __init__(self, cuts: list[list[float]], source: str = "__x", target: str = "__xc"):
+        super().__init__()
+        self.cuts, self.source, self.target = cuts, source, target
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        table = F.array(*[F.array(*[F.lit(t) for t in row]) for row in self.cuts])
+        below = F.zip_with(vector_to_array(self.source), table, lambda x, row: F.size(F.filter(row, lambda t: t < x)).cast("double"))
+        return df.withColumn(self.target, array_to_vector(below))
+
+
+def random_cuts(ready: DataFrame, width: int, cuts: int = 16, seed: int = 42) -> RandomCuts:
+    """Cut points drawn evenly between the least and the largest training value of each input."""
+    import numpy as np
+
+    row = ready.agg(Summarizer.min(F.col("__x")).alias("lo"), Summarizer.max(F.col("__x")).alias("hi")).first()
+    lo, hi = row["lo"].toArray(), row["hi"].toArray()
+    drawn = np.sort(lo[:, None] + (hi - lo)[:, None] * np.random.default_rng(seed).random((width, cuts)), axis=1)
+    return RandomCuts(drawn.tolist())
+
+
 def spline_basis(train: DataFrame, columns: Sequence[str], knots: int = 4) -> tuple[ColumnBuilder, list[str]]:
     """Quadratic truncated-power spline per column, knots at equal quantiles of the training rows.
 
@@ -82,35 +114,108 @@ def class_weights(train: DataFrame, y: str) -> DataFrame:
     return train.withColumn("__w", weight)
 
 
+class DiscriminantModel(Transformer):
+    """Linear boundary of two classes with one covariance; the probability is the logistic of the distance."""
+
+    def __init__(self, weights: list[float], bias: float):
+        super().__init__()
+        self.weights, self.bias = weights, bias
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        products = F.zip_with(vector_to_array("__x"), F.array(*[F.lit(w) for w in self.weights]), lambda x, w: x * w)
+        return df.withColumn("__p", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.aggregate(products, F.lit(self.bias), lambda a, v: a + v))))
+
+
+class Discriminant:
+    """Linear discriminant: class means, and the mean of the class covariances, each shrunk towards its diagonal.
+
+    The shrinkage of a class is the Ledoit-Wolf estimate on its standardised rows. Two aggregates: moments per class,
+    then sums of products, of which every task hands on one matrix per class. The driver sees features x features.
+    """
+
+    def __init__(self, y: str):
+        self.y = y
+
+    def fit(self, ready: DataFrame) -> DiscriminantModel:
+        import numpy as np
+        import pandas as pd
+
+        y = self.y
+        x = F.col("__x")
+        found = ready.groupBy(y).agg(F.count(F.lit(1)).alias("n"), Summarizer.mean(x).alias("m"), Summarizer.variance(x).alias("v")).collect()
+        if {r[y] for r in found} != {0.0, 1.0}:
+            raise ValueError("a discriminant needs rows of both classes, 0 and 1")
+        size, mean, scale = {}, {}, {}
+        for r in found:
+            size[r[y]], mean[r[y]] = r["n"], r["m"].toArray()
+            sd = np.sqrt(r["v"].toArray() * (r["n"] - 1) / r["n"]) if r["n"] > 1 else np.zeros(len(mean[r[y]]))
+            scale[r[y]] = np.where(sd > 0, sd, 1.0)
+
+        def partial(batches):
+            state = {c: [0.0, 0.0] for c in size}
+            for pdf in batches:
+                for c, part in pdf.groupby("c"):
+                    z = (np.stack(part["z"].to_list()) - mean[c]) / scale[c]
+                    state[c][0] = state[c][0] + z.T @ z
+                    state[c][1] += float(((z * z).sum(axis=1) ** 2).sum())
+            for c, (products, fourth) in state.items():
+                if np.ndim(products):
+                    yield pd.DataFrame({"c": c, "i": range(len(products)), "s": list(products), "f": [fourth] + [0.0] * (len(products) - 1)})
+
+        rows = ready.select(F.col(y).cast("double").alias("c"), vector_to_array("__x").alias("z"))
+        sums = rows.mapInPandas(partial, "c double, i int, s array<double>, f double")
+        parts = sums.groupBy("c", "i").agg(Summarizer.sum(array_to_vector("s")).alias("s"), F.sum("f").alias("f")).collect()
+        total, pooled = sum(size.values()), 0.0
+        for c, n in size.items():
+            own = sorted((r for r in parts if r["c"] == c), key=lambda r: r["i"])
+            cov, p = np.stack([r["s"].toArray() for r in own]) / n, len(own)
+            mu = np.trace(cov) / p
+            delta = ((cov - mu * np.eye(p)) ** 2).sum() / p
+            beta = (sum(r["f"] for r in own) / n - (cov**2).sum()) / (p * n)
+            shrink = min(max(beta, 0.0), delta) / delta if delta > 0 else 0.0
+            shrunk = (1 - shrink) * cov + shrink * mu * np.eye(p)
+            pooled = pooled + n / total * scale[c][:, None] * shrunk * scale[c][None, :]
+        weights = np.linalg.lstsq(pooled, mean[1.0] - mean[0.0], rcond=None)[0]
+        bias = -0.5 * float(weights @ (mean[1.0] + mean[0.0])) + float(np.log(size[1.0] / size[0.0]))
+        return DiscriminantModel(weights.tolist(), bias)
+
+
 def _scaled_stages(inputs: Sequence[str], prefix: str = "__x") -> list:
     return [VectorAssembler(inputCols=list(inputs), outputCol=f"{prefix}_raw", handleInvalid="keep"),
             StandardScaler(inputCol=f"{prefix}_raw", outputCol=prefix, withMean=True, withStd=True)]
 
 
-def estimators(name: str, y: str, width: int) -> list[tuple[float, object]]:
-    """(vote weight, estimator) list behind a learner name; one entry except for the soft vote."""
+def estimators(name: str, y: str, width: int, rows: int) -> list[tuple[float, object]]:
+    """(vote weight, estimator) list behind a learner name; one entry except for the soft vote.
+
+    ``rows`` is the sum of the balanced weights: an inverse regularisation C on the sum of losses is 1 / (C rows) on their mean.
+    """
     common = dict(featuresCol="__x", labelCol=y)
 
-    def logistic(max_iter=500, reg=0.0, mix=0.0):
-        return LogisticRegression(weightCol="__w", maxIter=max_iter, regParam=reg, elasticNetParam=mix, standardization=False, **common)
+    def logistic(max_iter, c, mix=0.0):
+        return LogisticRegression(weightCol="__w", maxIter=max_iter, regParam=1.0 / (c * rows), elasticNetParam=mix, standardization=False, **common)
+
+    def forest(trees=80, leaf=5, **more):  # trees grow to the library's limit of depth
+        return RandomForestClassifier(weightCol="__w", numTrees=trees, minInstancesPerNode=leaf, maxDepth=30, seed=42, featureSubsetStrategy="sqrt", **{**common, **more})
 
-    def forest(trees=80, leaf=5, strategy="auto"):
-        return RandomForestClassifier(weightCol="__w", numTrees=trees, minInstancesPerNode=leaf, maxDepth=10, seed=42, featureSubsetStrategy=strategy, **common)
+    def extra(trees):  # every tree sees all rows and splits at random cut points only
+        return forest(trees, bootstrap=False, featuresCol="__xc")
 
     def mlp(hidden, iterations):
         return MultilayerPerceptronClassifier(layers=[width, hidden, 2], maxIter=iterations, seed=42, **common)
 
+    # The learners' settings.
     table = {
-        "portable_logistic": lambda: [(1.0, logistic(500, 0.002))],
-        "elastic_net": lambda: [(1.0, logistic(700, 0.004, 0.35))],
-        "gam_spline": lambda: [(1.0, logistic(600, 0.006))],
-        "lda": lambda: [(1.0, logistic(200, 0.05))],  # linear discriminant: ridge-shrunk linear boundary
-        "rbf_svm": lambda: [(1.0, LinearSVC(weightCol="__w", maxIter=100, regParam=0.01, **common))],  # on random cosine features
+        "portable_logistic": lambda: [(1.0, logistic(500, 0.7))],
+        "elastic_net": lambda: [(1.0, logistic(700, 0.5, 0.35))],
+        "gam_spline": lambda: [(1.0, logistic(600, 0.3))],
+        "lda": lambda: [(1.0, Discriminant(y))],
+        "rbf_svm": lambda: [(1.0, LinearSVC(weightCol="__w", maxIter=100, regParam=1.0 / rows, **common))],  # on random cosine features
         "random_forest": lambda: [(1.0, forest())],
-        "extra_trees": lambda: [(1.0, forest(80, 5, "sqrt"))],  # randomised forest
+        "extra_trees": lambda: [(1.0, extra(80))],
         "gradient_boosting": lambda: [(1.0, GBTClassifier(maxIter=60, stepSize=0.07, maxDepth=5, seed=42, **common))],
         "small_mlp": lambda: [(1.0, mlp(24, 180))],
-        "stacked_vote": lambda: [(0.4, logistic(400, 0.002)), (0.4, forest(50, 5, "sqrt")), (0.2, mlp(16, 140))],
+        "stacked_vote": lambda: [(0.4, logistic(400, 0.7)), (0.4, extra(50)), (0.2, mlp(16, 140))],
     }
     if name not in table:
         raise KeyError(name)
@@ -128,7 +233,9 @@ class FittedLearner:
         keep = df.columns
         total, weight = F.lit(0.0), sum(w for w, _ in self.models)
         for i, (w, m) in enumerate(self.models):
-            if m.hasParam("probabilityCol"):
+            if isinstance(m, DiscriminantModel):
+                rows, p = m.transform(rows).withColumnRenamed("__p", f"__p{i}"), F.col(f"__p{i}")
+            elif m.hasParam("probabilityCol"):
                 m = m.copy({m.getParam("probabilityCol"): f"__p{i}", m.getParam("rawPredictionCol"): f"__r{i}", m.getParam("predictionCol"): f"__q{i}"})
                 rows = m.transform(rows)
                 p = vector_to_array(F.col(f"__p{i}"))[1]
@@ -141,18 +248,26 @@ class FittedLearner:
 
 
 def fit(name: str, train: DataFrame, features: Sequence[str], y: str) -> FittedLearner:
-    """Median imputation, standardisation, optional basis, then the named learner - all on these rows."""
-    features = [c for c in features if non_null_counts(train, features).get(c, 0) > 0] if features else []
-    rows = class_weights(train.where(F.col(y).isNotNull()).withColumns({c: F.col(c).cast("double") for c in features}), y)
-    rows = rows.withColumn(y, F.col(y).cast("double"))
-    filled = [f"{c}__filled" for c in features]
-    imputer = Imputer(strategy="median", inputCols=list(features), outputCols=filled).fit(rows)
-    stages, inputs = [imputer], filled
+    """Median imputation, standardisation, optional basis, then the named learner - all on these rows, which are kept while fitting."""
+    base = train.where(F.col(y).isNotNull()).select(*[F.col(c).cast("double").alias(c) for c in features], F.col(y).cast("double").alias(y)).persist()
+    try:
+        return _fit(name, base, [c for c in features if non_null_counts(base, features).get(c, 0) > 0] if features else [], y)
+    finally:
+        base.unpersist()
+
+
+def _fit(name: str, base: DataFrame, features: list[str], y: str) -> FittedLearner:
+    rows = class_weights(base, y)
+    medians = exact_quantiles(base.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in features]), [], features, (0.5,)).first().asDict()
+    # A column of NaN alone has no median and is left out.
+    features = [c for c in features if medians[f"{c}__q500"] is not None]
+    imputer = MedianFill({c: medians[f"{c}__q500"] for c in features})
+    filled = inputs = list(imputer.exprs)
+    stages: list[Transformer] = [imputer]
     if name == "gam_spline":
         builder, inputs = spline_basis(imputer.transform(rows), filled)
         stages.append(builder)
-    pre = PipelineModel(stages)
-    scaled = Pipeline(stages=_scaled_stages(inputs)).fit(pre.transform(rows))
+    scaled = Pipeline(stages=_scaled_stages(inputs)).fit(PipelineModel(stages).transform(rows))
     stages += scaled.stages
     if name == "rbf_svm":
         arr = {f"__s{i}": f"__arr[{i}]" for i in range(len(inputs))}
@@ -160,10 +275,12 @@ def fit(name: str, train: DataFrame, features: Sequence[str], y: str) -> FittedL
         stages += [VectorColumns("__x", "__arr"), ColumnBuilder(arr), builder, DropColumns("__x", "__x_raw"),
                    VectorAssembler(inputCols=rff, outputCol="__x", handleInvalid="keep")]
         inputs = rff
+    if name in ("extra_trees", "stacked_vote"):
+        stages.append(random_cuts(PipelineModel(stages).transform(rows), len(inputs)))
     prep = PipelineModel(stages)
     ready = prep.transform(rows)
-    models = [(w, e.fit(ready)) for w, e in estimators(name, y, len(inputs))]
-    return FittedLearner(prep, models, list(features))
+    models = [(w, e.fit(ready)) for w, e in estimators(name, y, len(inputs), max(1, base.count()))]
+    return FittedLearner(prep, models, features)
 
 
 class VectorColumns(Transformer):
@@ -240,7 +357,7 @@ def export_portable(df: DataFrame, features: Sequence[str], y: str) -> dict:
     model = fit("portable_logistic", df, features, y)
     imputer, scaler = model.prep.stages[0], model.prep.stages[2]
     lr = model.models[0][1]
-    medians = imputer.surrogateDF.first().asDict()
+    medians = imputer.medians
     stats = df.where(F.col(y).isNotNull()).agg(F.count(F.lit(1)), F.avg(F.col(y).cast("double"))).first()
     return {
         "rows": stats[0], "prevalence": stats[1], "numeric_features": model.inputs, "imputer_median": [float(medians[c]) for c in model.inputs],

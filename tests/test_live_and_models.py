@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -58,6 +59,38 @@ def test_portable_model_equals_pipeline(spark):
     assert ml.evaluate(oof, [], "y").first()["auc"] > 0.6
 
 
+def test_discriminant_and_distinct_forests(spark):
+    rng = np.random.default_rng(4)
+    y = (np.arange(240) % 3 == 0).astype(int)
+    x = rng.normal(size=(240, 3)) + y[:, None] * np.array([1.0, 0.5, 0.0])
+    x[:, 2] += x[:, 0]
+    df = spark.createDataFrame([(i, *map(float, v), int(c)) for i, (v, c) in enumerate(zip(x, y))], "id long, a double, b double, c double, y int")
+    score = lambda name: [r["p"] for r in ml.fit(name, df, ["a", "b", "c"], "y").transform(df).orderBy("id").collect()]
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    pooled = 0.0
+    for k in (0, 1):
+        own = z[y == k] - z[y == k].mean(axis=0)
+        scale = own.std(axis=0)
+        own = own / scale
+        n, cov = len(own), own.T @ own / len(own)
+        target = np.trace(cov) / 3 * np.eye(3)
+        spread = sum(((np.outer(r, r) - cov) ** 2).sum() for r in own) / n**2
+        share = min(1.0, spread / ((cov - target) ** 2).sum())
+        pooled = pooled + n / 240 * np.outer(scale, scale) * ((1 - share) * cov + share * target)
+    m0, m1 = z[y == 0].mean(axis=0), z[y == 1].mean(axis=0)
+    w = np.linalg.solve(pooled, m1 - m0)
+    want = 1 / (1 + np.exp(-(z @ w - w @ (m0 + m1) / 2 + np.log(y.sum() / (240 - y.sum())))))
+    assert np.allclose(score("lda"), want, atol=1e-9)
+    forests = [score("random_forest"), score("extra_trees")]
+    assert np.abs(np.subtract(*forests)).max() > 0.01 and all(np.mean((np.array(p) > 0.5) == y) > 0.7 for p in forests)
+    assert len(score("stacked_vote")) == 240
+
+
+def test_fill_is_the_exact_median(spark):
+    df = spark.createDataFrame([(float(v), i % 2) for i, v in enumerate([1, 2, 4, 8])] + [(None, 0), (float("nan"), 1)], "a double, y int")
+    assert ml.fit("portable_logistic", df, ["a"], "y").prep.stages[0].medians == {"a": 3.0}
+
+
 def test_sampling_caps_and_balance(spark):
     rows = spark.range(4000).select(
         F.lit("d").alias("dataset_id"), (F.col("id") % 100).alias("session_id"), F.col("id").cast("double").alias("window_end_s"), (F.col("id") % 100 < 80).cast("int").alias("y"))
