@@ -1,7 +1,9 @@
 """Live counterparts of the batch operators as Structured Streaming transformations.
 
 Every function takes and returns a (streaming) DataFrame; the same code runs on a static frame. State
-is keyed by session, bounded by the watermark, and kept in the cluster's state store.
+is kept in the cluster's state store. That of windows, counts and runs ends with the watermark, and they
+return only what it has passed. The two per-session operators keep one small row per session for good, order rows
+within a micro-batch only, and hold a session's rows of one micro-batch in one task.
 """
 
 from __future__ import annotations
