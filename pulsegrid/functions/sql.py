@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
@@ -22,9 +24,10 @@ class ProtocolSegments:
 
         def number(s):
             try:
-                return float(s.replace(",", "."))
+                value = float(s.replace(",", "."))
             except ValueError:
                 return None
+            return value if math.isfinite(value) else None  # words such as "nan" and "inf" are no times
 
         starts, ends = [[number(s) for s in rows.get(k, [])] for k in ("# START", "# END")]
         known = [s for s in starts if s is not None]
