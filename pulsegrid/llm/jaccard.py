@@ -78,12 +78,16 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """(path, d1, d2, size, tokens): the buckets in which sets are compared. One of those with the same members stays."""
+    """(path, d1, d2, size, tokens): the buckets in which sets are compared. One of those with the same members stays.
+
+    That holds for leaves only: a bucket still to be split draws its own coordinates, so each run's path of it goes on.
+    """
     members = F.bit_xor(F.xxhash64("d1", "d2")), F.bit_xor(F.xxhash64("d2", "d1", F.lit(1)))
 
-    def sized(nodes: DataFrame) -> DataFrame:
+    def sized(nodes: DataFrame, last: bool = False) -> DataFrame:
         sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), members[0].alias("a"), members[1].alias("b")).where("size > 1")
-        return nodes.join(sizes.groupBy("size", "a", "b").agg(F.min("path").alias("path")).select("path", "size"), "path")
+        going_on = F.when((F.col("size") > SPLIT_OVER) & F.lit(not last), F.col("path"))
+        return nodes.join(sizes.groupBy("size", "a", "b", going_on.alias("own")).agg(F.min("path").alias("path")).select("path", "size"), "path")
 
     root = sets.select("d1", "d2", "n", F.posexplode_outer(F.slice("mh", 1, runs)).alias("run", "token"))
     nodes = stored(sized(root.select(F.xxhash64("run", "token").alias("path"), "d1", "d2", "n")))
@@ -93,7 +97,7 @@ def _leaves(sets: DataFrame, runs: int) -> DataFrame:
         pick = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(COORDINATES)).cast("int")
         chosen = F.when(F.pmod(F.xxhash64("path", F.lit(2)), F.lit(4)) == 0, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
         split = large.withColumn("at", F.explode(F.array_distinct(chosen))).select(F.xxhash64("path", "at", F.get("mh", F.col("at"))).alias("path"), "d1", "d2", "n")
-        nodes = stored(sized(split))
+        nodes = stored(sized(split, last=depth == SPLITS - 1))
         done.append(nodes if depth == SPLITS - 1 else nodes.where(F.col("size") <= SPLIT_OVER))
     every = done[0].unionByName(done[1])
     for more in done[2:]:

@@ -126,6 +126,33 @@ def test_jaccard_links_and_classes(make, monkeypatch):
     assert jaccard.near_duplicates(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("families, copies, split_over", [(20, 30, 20), (2, 300, None)])
+def test_jaccard_runs_of_hot_buckets(make, monkeypatch, families, copies, split_over):
+    """Close copies fill all root buckets alike; one document a family at 0.8 to 0.9 needs the draws of every run."""
+    if split_over:
+        monkeypatch.setattr(jaccard, "SPLIT_OVER", split_over)
+    r, rows, want = random.Random(5), [], []
+    for family in range(families):
+        words, texts = [f"f{family}w{i}" for i in range(2000)], []
+        for copy in range(copies + 1):
+            some = list(words)
+            for at in r.sample(range(2000), 1 if copy < copies else 35):
+                some[at] = f"other{copy}x{at}"
+            texts.append(some)
+        number: dict[tuple, int] = {}
+        sets = [{number.setdefault(tuple(t[i : i + 5]), len(number)) for i in range(len(t) - 4)} for t in texts]
+        member = np.zeros((len(sets), len(number)), np.float32)
+        for i, s in enumerate(sets):
+            member[i, list(s)] = 1
+        shared, n = member @ member.T, member.sum(1)
+        similar = shared / (n[:, None] + n - shared)
+        assert 0.8 <= similar[-1, :-1].min() and similar[-1, :-1].max() < 0.9
+        for text, links in zip(texts, (similar >= 0.8).sum(1) - 1, strict=True):
+            want.append((len(rows), int(links)))
+            rows.append((len(rows), " ".join(text)))
+    assert rows_of(jaccard.near_duplicates(make(rows)), "id", "n_links") == sorted(want, key=repr)
+
+
 def test_components(spark):
     pairs = [(a, a + 1) for a in range(1, 60) if a % 10] + [(5, 95), (95, 70)]
     found = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
