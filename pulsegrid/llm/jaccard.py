@@ -149,7 +149,7 @@ def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     path = group.column("path")[0].as_py()
     lists = group.column("paths").combine_chunks()
     if rows == 2:
-        near = int((signature[0] == signature[1]).sum()) >= MIN_EQUAL and not any(p < path for p in set(lists[0].as_py()) & set(lists[1].as_py()))
+        near = (i == j or side[0] != side[1]) and int((signature[0] == signature[1]).sum()) >= MIN_EQUAL and not any(p < path for p in set(lists[0].as_py()) & set(lists[1].as_py()))
         return (np.array([0]), np.array([1])) if near else (np.zeros(0, int), np.zeros(0, int))
     equal = np.zeros((rows, rows), np.int16)
     for c in range(COORDINATES):

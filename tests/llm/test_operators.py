@@ -153,6 +153,18 @@ def test_jaccard_runs_of_hot_buckets(make, monkeypatch, families, copies, split_
     assert rows_of(jaccard.near_duplicates(make(rows)), "id", "n_links") == sorted(want, key=repr)
 
 
+def test_jaccard_few_long_sets(make, monkeypatch):
+    """Two or three sets of a leaf that fill many blocks: each pair counts once, wherever its sets are dealt."""
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 20)
+    rows, want = [], []
+    for family in range(40):
+        words, copies = [f"f{family}w{i}" for i in range(80)], 2 + family % 2
+        for copy in range(copies):
+            want.append((len(rows), copies - 1))
+            rows.append((len(rows), " ".join([*words[:-1], f"last{copy}"])))
+    assert rows_of(jaccard.near_duplicates(make(rows)), "id", "n_links") == sorted(want, key=repr)
+
+
 def test_components(spark):
     pairs = [(a, a + 1) for a in range(1, 60) if a % 10] + [(5, 95), (95, 70)]
     found = {r["node"]: r["root"] for r in jaccard.components(spark.createDataFrame(pairs, "u long, v long")).collect()}
