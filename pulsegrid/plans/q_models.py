@@ -69,8 +69,8 @@ def ml_portable_export(spark, sf):
 
 @query("glm_binomial")
 def glm_binomial(spark, sf):
-    # Complete rows of all base features are fewer than a model needs on the small tables.
-    return rounded(ml.glm_table(ml.glm_binomial(_rows(spark, sf), "y", BASE_FEATURES[:4], 100), BASE_FEATURES[:4], spark))
+    """All base features under the operator's own row guard: no rows where fewer rows are complete."""
+    return rounded(ml.glm_table(ml.glm_binomial(_rows(spark, sf), "y", BASE_FEATURES), BASE_FEATURES, spark))
 
 
 @query(

@@ -7,7 +7,7 @@ from pulsegrid.operators import sampling as SA
 from pulsegrid.operators.baseline import baseline_profiles
 from pulsegrid.operators.windows import WindowSpec, window_features
 from pulsegrid.functions.scoring import portable_logistic
-from pulsegrid.plans import q_stream
+from pulsegrid.plans import q_models, q_stream
 from pulsegrid.plans.registry import table
 from pulsegrid.streaming import live
 
@@ -106,3 +106,23 @@ def test_sampling_caps_and_balance(spark):
 def test_null_session_is_kept_as_one_session(spark):
     df = spark.createDataFrame([("d", None, i, float(i), 1.0) for i in range(35)], "dataset_id string, session_id string, sample_index long, sample_offset_s double, eda double")
     assert window_features(df, WindowSpec(), all_blocks=False).count() == 5
+
+
+@pytest.mark.parametrize("n", [150, 199, 200, 600])
+def test_glm_query_fits_all_base_features(spark, monkeypatch, n):
+    names = q_models.BASE_FEATURES
+    r = np.random.default_rng(3)
+    x = r.normal(size=(n, len(names)))
+    y = (r.random(n) < 1 / (1 + np.exp(-(x[:, 0] - x[:, -1]) / 2))).astype(float)
+    rows = [[float(t), *map(float, v)] for t, v in zip(y, x)] + [[1.0, *[None] * len(names)]] * 100
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in ["y", *names]))
+    monkeypatch.setattr(q_models, "_rows", lambda spark, sf: df)
+    got = {row["feature"]: row["beta"] for row in q_models.glm_binomial(spark, "").collect()}
+    if n < 200:
+        assert got == {}
+        return
+    a, beta = np.column_stack((x, np.ones(n))), np.zeros(len(names) + 1)
+    for _ in range(30):  # Newton's steps
+        p = 1 / (1 + np.exp(-a @ beta))
+        beta += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]), a.T @ (y - p))
+    assert list(got) == [*names, "(intercept)"] and list(got.values()) == pytest.approx(beta.tolist(), abs=1e-4)
