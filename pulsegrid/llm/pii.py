@@ -26,8 +26,18 @@ DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`|\\^{}]+")
 #: What may stand between a cue and its identifier, and the identifier: at least six characters, one of them a digit.
-ASSIGN = re.compile(r"(?:\s?(?:number|no\.?|key|id))?\s{0,3}[:=#]?\s{0,3}[\"']?")
+ASSIGN = re.compile(r"(?:(?:[_-][A-Za-z]{1,20}){1,4}(?=\s{0,3}[:=])|\s?(?:number|no\.?|key|id|(?i:number|no\.?|key|id)(?![A-Za-z0-9])))?\s{0,3}[:=#]?\s{0,3}[\"']?")
 IDENTIFIER = re.compile(r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{6,}")
+#: Numbers in groups, behind the cues that may have them: 6 to 34 digits in all.
+GROUPS, GROUPED_CUES = re.compile(r"[0-9]{2,6}(?:[\x20-][0-9]{2,6})+(?![A-Za-z0-9])"), ("account", "acct", "passport", "ssn")
+IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20\xa0-]?[A-Za-z0-9]){11,30}")
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    c: int(part[:2]) for part in (
+        "15NO 16BE 18DKFIFKFOGLNLSD 19MKSI 20ATBAEEKZLTLUMNXK 21CHHRLILV 22BGBHCRDEGBGEIEMERSVA 23AEGIILIQOMSOTL 24ADCZESMDPKROSASESKTNVG 25LYPTST "
+        "26ISTR 27BIDJFRGRITMCMRSM 28ALAZBYCYDOGTHULBNIPLSV 29BREGPSQAUA 30JOKWMUYE 31MTSC 32LC 33RU"
+    ).split() for c in (part[i : i + 2] for i in range(2, len(part), 2))
+}
 AWS_TAIL = re.compile(r"[A-Z0-9]{16}(?![A-Za-z0-9])")
 
 
@@ -54,6 +64,31 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_end(text: str, at: int) -> int:
+    """End of the valid IBAN that starts at ``at``, grouped or not, or 0: as long as its country's, and 1 modulo 97."""
+    m, length = IBAN.match(text, at), IBAN_LENGTHS.get(text[at : at + 2].upper(), 0)
+    places = [i for i in range(at, m.end()) if text[i] not in " \xa0-"][:length] if m else []
+    if not length or len(places) < length or text[places[-1] + 1 : places[-1] + 2].isalnum():
+        return 0
+    code = "".join(text[i] for i in places).upper()
+    return places[-1] + 1 if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else 0
+
+
+def account_span(text: str, cue: str, at: int) -> tuple[int, int] | None:
+    """(start, end) of the identifier at ``at``, behind ``cue``."""
+    if cue == "iban":
+        # "no" may be the country.
+        return next(((start, end) for start in (at, at - 2) if (end := iban_end(text, start))), None)
+    ends = [m.end()] if (m := IDENTIFIER.match(text, at)) else []
+    if cue in GROUPED_CUES:
+        if cue in ("account", "acct") and (end := iban_end(text, at)):
+            return at, end
+        m = GROUPS.match(text, at)
+        if m and 6 <= len(_only_digits(m[0])) <= 34:
+            ends.append(m.end())
+    return (at, max(ends)) if ends else None
+
+
 def _only_digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -104,13 +139,12 @@ def find_pii(text: str) -> list[tuple[int, int, int]]:
         elif last >= account_end and (at == 0 or not text[at - 1].isalnum()):
             if text.startswith("AKIA", at):
                 m = AWS_TAIL.match(text, last + 1)
-                start = at
+                span = (at, m.end()) if m else None
             else:
-                m = IDENTIFIER.match(text, ASSIGN.match(text, last + 1).end())
-                start = m.start() if m else 0
-            if m:
-                account_end = m.end()
-                out.append((start, 5, m.end()))
+                span = account_span(text, text[at : last + 1].lower(), ASSIGN.match(text, last + 1).end())
+            if span:
+                account_end = span[1]
+                out.append((span[0], 5, span[1]))
     out.sort()
     return out
 
