@@ -46,7 +46,7 @@ STAGES = [
     ("token_output", token_output),
 ]
 
-#: Trained models and tokenizers are beyond SQL; tests compare the stages with plain versions.
+#: Trained models and tokenizers are beyond SQL; tests compare the operators with plain versions, not yet the composed stages.
 ORACLE_SQL = None
 
 

@@ -197,6 +197,25 @@ def test_quality(spark, make):
     assert quality.quality(docs, None).where("kept").count() > 0 and quality.quality(docs.limit(0), model).count() == 0
 
 
+def test_quality_statistics_and_base_rules(make):
+    r, rows = random.Random(17), list(EDGES)
+    for i in range(300):
+        words = r.choices(VOCABULARY[:40] + ["#", "a&b", "<é|>", "€$%*", "日本"], k=r.choice((0, 5, 18, 19, 20, 21, 40, 90)))
+        again = words[: r.randint(0, 12)] * r.randint(0, 3)
+        rows.append((1000 + i, "".join(w + r.choice((" ", " ", "  ", "\n", "\n\n", "\t", "\r\n", "\x0b")) for w in words + again) + r.choice(("", "\nsame\nsame\n \n", "\u00a0x"))))
+    want = []
+    for doc, text in rows:
+        words = re.findall(r"[^\x20\x09-\x0d]+", text or "")
+        windows = [tuple(words[i : i + 8]) for i in range(len(words) - 7)]
+        counts = Counter(windows)
+        repeated = {j for i, w in enumerate(windows) if counts[w] > 1 for j in range(i, i + 8)}
+        lines = [x for x in (text or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+        failed = len(words) < 20 or len(repeated) / len(words) > 0.3
+        want.append((doc, len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(repeated), failed, not failed))
+    assert {w[-1] for w in want} == {True, False}
+    assert rows_of(quality.quality(make(rows), None), "doc_id", *quality.STATISTICS, "base_failed", "kept") == sorted(want, key=repr)
+
+
 def test_line_dedup(make):
     common = [(i, f"line {i}\n  Shared LINE \n\nshared line\nend {i % 3}") for i in range(12)]
     rows = [*common, (None, None), (50, ""), (51, "shared line\n" * 400 + "tail"), (51, "shared line\n" * 400 + "tail")]
