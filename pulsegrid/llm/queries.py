@@ -17,6 +17,7 @@ from pulsegrid.llm.mixing import mix
 from pulsegrid.llm.phrases import remove_repeats
 from pulsegrid.llm.pii import BASE, KINDS, pii_spans
 from pulsegrid.llm.quality import quality, train
+from pulsegrid.llm.repair import audits, damaged, repair
 from pulsegrid.llm.tokencount import count_sections
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,50 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and of each of its sentences and lines."""
     counted = count_sections(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path("byte_bpe_50k.tiktoken"))
     return counted.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.array_join(F.col("section_tokens").cast("array<string>"), ",").alias("section_tokens"))
+
+
+def _repair_sql() -> str:
+    """The same dynamic program over all conversations at once; a state is its cost in 12 digits and then its edits, so the least string is the best."""
+
+    def add(state: str, edit: str, cost: str) -> str:
+        return f"(lpad(CAST(CAST({state}[1:12] AS BIGINT) + {cost} AS VARCHAR), 12, '0') || {state}[13:] || '{edit}')"
+
+    return rf"""
+    WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+    hashed AS (SELECT *, xor(4294967295, list_reduce(list_transform(string_split(k, ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda crc, byte:
+        list_reduce([CAST(0 AS BIGINT), 1, 2, 3, 4, 5, 6, 7], lambda c, bit: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(crc, byte)), CAST(4294967295 AS BIGINT))) % 20 AS how FROM keyed),
+    hurt AS (SELECT conv_id, turn, CASE how WHEN 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, unnest(range(CASE how WHEN 3 THEN 2 ELSE 1 END)) AS copy,
+        CASE how WHEN 1 THEN '' WHEN 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text FROM hashed WHERE how > 0),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i, left(role, 1) AS c,
+        regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM hurt),
+    judged AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+        WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, lag(c) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM numbered),
+    best AS (SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS i, '000000000000' AS b0, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS b2, CAST(NULL AS VARCHAR) AS b3 FROM judged
+        UNION ALL SELECT conv_id, i, {add("b0", "D", "4")},
+            least({add("b1", "D", "4")}, CASE WHEN NOT must AND c = 's' THEN {add("b0", "K", "stay")} END),
+            least({add("u", "D", "4")}, CASE WHEN NOT must THEN least({add("b0", "R", "3 + stay")}, {add("b1", "R", "3 + stay")}, {add("a", "R", "3 + stay")}) END,
+                CASE WHEN NOT must AND c = 'u' THEN least({add("b0", "K", "stay")}, {add("b1", "K", "stay")}, {add("a", "K", "stay")}) END),
+            least({add("a", "D", "4")}, CASE WHEN NOT must THEN {add("u", "R", "3 + stay")} END, CASE WHEN NOT must AND c = 'a' THEN {add("u", "K", "stay")} END)
+        FROM (SELECT *, least(b3, {add("u", "I", "3")}) AS a FROM (SELECT j.conv_id, j.i, b0, b1, b3, c, fault IN ('blank', 'duplicate') AS must, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS stay,
+            least(b2, {add("b0", "I", "3")}, {add("b1", "I", "3")}, {add("b3", "I", "3")}) AS u FROM best JOIN judged j ON j.conv_id IS NOT DISTINCT FROM best.conv_id AND j.i = best.i + 1))),
+    ended AS (SELECT conv_id, least(b0, b3, {add("b2", "I", "3")}, {add("b1", "II", "6")}) AS s FROM best
+        JOIN (SELECT conv_id AS last_conv, max(i) AS last_i FROM judged GROUP BY 1) ON last_conv IS NOT DISTINCT FROM conv_id AND i = last_i),
+    steps AS (SELECT conv_id, p, s[p] AS edit FROM (SELECT conv_id, s, unnest(range(13, len(s) + 1)) AS p FROM ended)),
+    placed AS (SELECT *, sum(CAST(edit <> 'I' AS INT)) OVER w AS i, sum(CAST(edit <> 'D' AS INT)) OVER w AS o FROM steps WINDOW w AS (PARTITION BY conv_id ORDER BY p)),
+    rebuilt AS (SELECT x.conv_id, p, edit, o, c, role, text, max(CAST(edit = 'K' AND c = 's' AS INT)) OVER (PARTITION BY x.conv_id) AS head
+        FROM placed x LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM x.conv_id AND j.i = x.i AND edit <> 'I' WHERE edit <> 'D'),
+    lines AS (SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role WHEN (o - head) % 2 = 1 THEN 'user' ELSE 'assistant' END
+        || ':' || CASE edit WHEN 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said FROM rebuilt GROUP BY conv_id),
+    figures AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (i > 1 AND before || c NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv_id)
+    SELECT v.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+        CAST(coalesce(s[1:12], '0') AS BIGINT) AS cost, coalesce(s[13:], '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN figures f ON f.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN lines l ON l.conv_id IS NOT DISTINCT FROM v.conv_id
+    """
+
+
+@query("op13_repair_conversations", _repair_sql())
+def op13_repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hurt = damaged(turns)
+    return audits(turns, hurt, *repair(hurt))
