@@ -16,6 +16,7 @@ from pulsegrid.llm.linededup import drop_common_lines
 from pulsegrid.llm.mixing import mix
 from pulsegrid.llm.phrases import remove_repeats
 from pulsegrid.llm.pii import BASE, KINDS, pii_spans
+from pulsegrid.llm.pivots import near_vectors
 from pulsegrid.llm.quality import quality, train
 from pulsegrid.llm.repair import audits, damaged, repair
 from pulsegrid.llm.tokencount import count_sections
@@ -157,6 +158,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.array_join(F.col("section_tokens").cast("array<string>"), ",").alias("section_tokens"))
 
 
+@query(
+    "op12_near_vectors",
+    r"""
+    WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    good AS (SELECT row_number() OVER () AS n, vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+    links AS (SELECT a.n AS a, b.n AS b, b.vec_id AS id FROM good a JOIN good b ON a.label = b.label AND a.n <> b.n AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+    reached AS (SELECT a, b, id FROM links UNION SELECT r.a, l.b, l.id FROM reached r JOIN links l ON r.b = l.a)
+    SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept
+    FROM good LEFT JOIN (SELECT a, count(*) AS k FROM links GROUP BY a) x ON x.a = n LEFT JOIN (SELECT a, min(id) AS low FROM reached GROUP BY a) y ON y.a = n
+    UNION ALL SELECT vec_id, 0, vec_id, true FROM v WHERE NOT coalesce(label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0, false)
+    """,
+)
+def op12_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_vectors(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def _repair_sql() -> str:
     """The same dynamic program over all conversations at once; a state is its cost in 12 digits and then its edits, so the least string is the best."""
 
