@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid.llm.chatformat import chat_windows, read_windows
+from pulsegrid.llm.collocations import collocations
 from pulsegrid.llm.common import table
 from pulsegrid.llm.decontam import contamination
 from pulsegrid.llm.idstore import token_files
@@ -158,6 +159,27 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_tokens", "n_sections", "n_crossing", F.array_join(F.col("section_tokens").cast("array<string>"), ",").alias("section_tokens"))
 
 
+@query(
+    "op11_collocations",
+    r"""
+    WITH pieces AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM (SELECT coalesce(lang, 'und') AS lang,
+        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+    totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+    grams AS (SELECT lang, list_slice(w, i, i + k - 1) AS g, count(*) AS f FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) t(k)) GROUP BY ALL),
+    phrases AS (SELECT lang, g, f AS a FROM grams WHERE len(g) > 1 AND f >= 30),
+    cuts AS (SELECT p.lang, p.g, a, k, x.f AS l, y.f AS r, CAST(a AS HUGEINT) * 2000000 // (x.f + y.f) AS score FROM (SELECT *, unnest(range(1, len(g))) AS k FROM phrases) p
+        JOIN grams x ON x.lang = p.lang AND x.g = p.g[1:k] JOIN grams y ON y.lang = p.lang AND y.g = p.g[k + 1:]),
+    scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+    inside AS (SELECT lang, list_slice(g, i, i + k - 1) AS g, max(a) AS longer FROM (SELECT lang, g, a, k, unnest(range(1, len(g) - k + 2)) AS i FROM phrases, (VALUES (2), (3)) t(k) WHERE k < len(g)) GROUP BY ALL),
+    ranked AS (SELECT s.lang, array_to_string(s.g, ' ') AS phrase, a, l, r, score, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, array_to_string(s.g, ' ')) AS rank
+        FROM scored s LEFT JOIN inside i ON i.lang = s.lang AND i.g = s.g WHERE longer IS NULL OR 100 * CAST(longer AS HUGEINT) < 80 * CAST(a AS HUGEINT))
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op12_near_vectors",
     r"""
