@@ -18,7 +18,9 @@ ORDER = 4
 #: Occurrences of a candidate, phrases reported per language, per cent of a phrase's occurrences that a longer one must have to replace it.
 LEAST, TOP, INSIDE = 30, 2000, 80
 #: Text of a shard, words of a prefix range, n-grams of one automaton of the lookups.
-SHARD_BYTES, RANGE_WORDS, SEGMENT = 8 << 20, 2 << 20, 50_000
+SHARD_BYTES, RANGE_WORDS, SEGMENT = 6 << 20, 1 << 20, 50_000
+#: N-grams that wait to be added up.
+MERGED = 1 << 20
 #: Documents from which the borders of the prefix ranges are estimated (they decide where counting happens, never what is counted), and n-grams of each of their shards.
 SAMPLED_DOCS, SAMPLED_GRAMS = 2000, 20_000
 BREAKS, BLANKS = np.zeros(256, bool), np.zeros(256, bool)
@@ -47,89 +49,93 @@ def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.maximum(span_hashes(data, starts, ends) >> np.uint64(1), np.uint64(1)), starts, ends, goes_on
 
 
-def counted(grams: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted different rows of ``grams`` (n x 4 symbols, 0: none) and the sums of their weights."""
-    if not len(grams):
-        return grams, np.zeros(0, np.int64)
-    symbols, ids = np.unique(grams, return_inverse=True)
-    ids = ids.reshape(grams.shape).astype(np.int64)
-    heads, head = np.unique(ids[:, 0] << 32 | ids[:, 1], return_inverse=True)
-    tails, tail = np.unique(ids[:, 2] << 32 | ids[:, 3], return_inverse=True)
-    keys, at, sums = np.unique(head.astype(np.int64) << 32 | tail, return_inverse=True, return_counts=True)
-    if weights is not None:
+def counted(columns: list[np.ndarray], weights: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+    """Sorted different n-grams (a column of word numbers for each place, 0: none) and the sums of their weights."""
+    heads, head = np.unique(columns[0].astype(np.int64) << 32 | columns[1], return_inverse=True)
+    tails, tail = np.unique(columns[2].astype(np.int64) << 32 | columns[3], return_inverse=True)
+    keys = head.astype(np.int64) << 32 | tail
+    if weights is None:
+        keys, sums = np.unique(keys, return_counts=True)
+    else:
+        keys, at = np.unique(keys, return_inverse=True)
         sums = np.zeros(len(keys), np.int64)
         np.add.at(sums, at, weights)
     head, tail = heads[keys >> 32], tails[keys & 0xFFFFFFFF]
-    return symbols[np.stack((head >> 32, head & 0xFFFFFFFF, tail >> 32, tail & 0xFFFFFFFF), axis=1)], sums.astype(np.int64)
+    return [c.astype(np.int32) for c in (head >> 32, head & 0xFFFFFFFF, tail >> 32, tail & 0xFFFFFFFF)], sums.astype(np.int64)
 
 
-def suffixes(symbols: np.ndarray, goes_on: np.ndarray) -> np.ndarray:
+def suffixes(numbers: np.ndarray, goes_on: np.ndarray) -> list[np.ndarray]:
     """Each word with up to three that follow it in its piece."""
-    grams = np.zeros((len(symbols), ORDER), np.uint64)
-    grams[:, 0], open_ = symbols, goes_on
+    columns, open_ = [numbers], goes_on
     for k in range(1, ORDER):
-        at = np.flatnonzero(open_[: len(symbols) - k + 1]) if k == 1 else np.flatnonzero(open_)
-        grams[at, k] = symbols[at + k]
+        at = np.flatnonzero(open_)
+        columns.append(np.zeros(len(numbers), np.int32))
+        columns[k][at] = numbers[at + k]
         follows = np.zeros_like(open_)
         follows[:-k] = open_[:-k] & goes_on[k:]
         open_ = follows
-    return grams
+    return columns
+
+
+def first_of_prefix(columns: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Per length of a prefix: where in sorted n-grams another one begins."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= column[1:] != column[:-1]
+        yield new.copy()
 
 
 def _small(values: np.ndarray) -> np.ndarray:
     return values.astype(np.min_scalar_type(int(values.max(initial=0))))
 
 
-def to_transducer(grams: np.ndarray, counts: np.ndarray) -> bytes:
+def to_transducer(symbols: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> bytes:
     """Sorted n-grams as an acyclic automaton in level order: labels and numbers of arcs of each level's states; the last arcs carry the counts."""
-    symbols, ids = np.unique(grams, return_inverse=True)
-    ids = ids.reshape(grams.shape)
-    arrays, new = [symbols], np.zeros(len(grams), bool)
-    new[0] = True
-    levels = []
-    for k in range(ORDER):
-        new = new.copy()
-        new[1:] |= ids[1:, k] != ids[:-1, k]
-        levels.append(new)
-    for k, own in enumerate(levels):
-        arrays.append(_small(ids[own, k]))
-        arrays.append(_small(counts) if k == ORDER - 1 else _small(np.diff(np.append(np.cumsum(levels[k + 1])[own] - 1, levels[k + 1].sum()))))
+    used = np.zeros(len(symbols), bool)
+    for column in columns:
+        used[column] = True
+    own = np.cumsum(used) - 1
+    arrays, levels = [symbols[used]], list(first_of_prefix(columns))
+    for k, level in enumerate(levels):
+        arrays.append(_small(own[columns[k][level]]))
+        arrays.append(_small(counts) if k == ORDER - 1 else _small(np.diff(np.append(np.cumsum(levels[k + 1])[level] - 1, levels[k + 1].sum()))))
     head = b"".join(struct.pack("<BI", a.dtype.itemsize, len(a)) for a in arrays)
     return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
-def from_transducer(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The n-grams and counts of a transducer."""
+def from_transducer(data: bytes) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
+    """(symbols, n-grams as columns of numbers in them, counts) of a transducer."""
     data = zstandard.ZstdDecompressor().decompress(data)
     arrays, at = [], struct.calcsize("<BI") * (2 * ORDER + 1)
     for i in range(2 * ORDER + 1):
         width, size = struct.unpack_from("<BI", data, 5 * i)
         arrays.append(np.frombuffer(data, f"<u{width}", size, at))
         at += width * size
-    symbols, counts, columns = arrays[0], arrays[-1].astype(np.int64), []
+    counts, columns = arrays[-1].astype(np.int64), []
     repeat = np.ones(len(counts), np.int64)
     for k in reversed(range(ORDER)):
-        labels = arrays[1 + 2 * k]
         if k < ORDER - 1:  # leaves below each state
             repeat = np.add.reduceat(repeat, np.concatenate(([0], np.cumsum(arrays[2 + 2 * k].astype(np.int64))))[:-1])
-        columns.append(np.repeat(symbols[labels], repeat))
-    return np.stack(columns[::-1], axis=1), counts
+        columns.append(np.repeat(arrays[1 + 2 * k].astype(np.int32), repeat))
+    return arrays[0], columns[::-1], counts
 
 
-def borders_in(grams: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """Where each border would stand in sorted ``grams``."""
+def borders_in(symbols: np.ndarray, columns: list[np.ndarray], borders: np.ndarray) -> np.ndarray:
+    """Where each border would stand in sorted n-grams."""
     out = np.zeros(len(borders), np.int64)
     for n, border in enumerate(borders):
-        low, high = 0, len(grams)
+        low, high = 0, len(columns[0])
         for k in range(ORDER):
-            column = grams[low:high, k]
-            low, high = low + int(np.searchsorted(column, border[k])), low + int(np.searchsorted(column, border[k], side="right"))
+            number = int(np.searchsorted(symbols, border[k]))
+            there = number < len(symbols) and symbols[number] == border[k]
+            low, high = low + int(np.searchsorted(columns[k][low:high], number)), low + int(np.searchsorted(columns[k][low:high], number, side="right" if there else "left"))
         out[n] = low
     return out
 
 
-SHARDS = "lang string, word string, symbol bigint, n bigint, part int, transducer binary"
-_FIELDS = pa.schema([("lang", pa.string()), ("word", pa.string()), ("symbol", pa.int64()), ("n", pa.int64()), ("part", pa.int32()), ("transducer", pa.binary())])
+SHARDS = "lang string, part int, word string, symbol bigint, n bigint, transducer binary"
+_FIELDS = pa.schema([("lang", pa.string()), ("part", pa.int32()), ("word", pa.string()), ("symbol", pa.int64()), ("n", pa.int64()), ("transducer", pa.binary())])
 
 
 def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
@@ -142,6 +148,12 @@ def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, np.nd
                 yield lang, lower_ascii(data), offsets
 
 
+def _numbered(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(0 and then the different symbols, the number of each word in them, the first place of each)."""
+    distinct, first, numbers = np.unique(symbols, return_index=True, return_inverse=True)
+    return np.concatenate((np.zeros(1, np.uint64), distinct)), (numbers + 1).astype(np.int32), first
+
+
 def _shards(borders: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Per shard of text: its words with their numbers, and a transducer for each prefix range."""
 
@@ -150,18 +162,16 @@ def _shards(borders: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
             symbols, starts, ends, goes_on = words_of(data, offsets)
             if not len(symbols):
                 continue
-            distinct, first, numbers = np.unique(symbols, return_index=True, return_counts=True)
-            text = data.tobytes()
-            words = [text[a:b].decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-            none = pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(words), pa.array(distinct.astype(np.int64)), pa.array(numbers), *none], schema=_FIELDS)
-            grams, counts = counted(suffixes(symbols, goes_on))
-            cuts = np.concatenate(([0], borders_in(grams, borders), [len(grams)]))
+            table, numbers, first = _numbered(symbols)
+            words = [data[a:b].tobytes().decode() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+            parts = (table[1:] % np.uint64(len(borders) + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words)), pa.array(parts), pa.array(words), pa.array(table[1:].astype(np.int64)), pa.array(np.bincount(numbers)[1:]), pa.nulls(len(words), pa.binary())], schema=_FIELDS)
+            columns, counts = counted(suffixes(numbers, goes_on))
+            cuts = np.concatenate(([0], borders_in(table, columns, borders), [len(counts)]))
             full = np.flatnonzero(np.diff(cuts))
-            made = [to_transducer(grams[cuts[r] : cuts[r + 1]], counts[cuts[r] : cuts[r + 1]]) for r in full.tolist()]
-            for at in range(0, len(made), 64):
-                some = made[at : at + 64]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(some)), pa.nulls(len(some), pa.string()), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(full[at : at + 64].astype(np.int32)), pa.array(some, pa.binary())], schema=_FIELDS)
+            for r in full.tolist():
+                made = to_transducer(table, [c[cuts[r] : cuts[r + 1]] for c in columns], counts[cuts[r] : cuts[r + 1]])
+                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([r], pa.int32()), pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([made], pa.binary())], schema=_FIELDS)
 
     return run
 
@@ -169,8 +179,10 @@ def _shards(borders: np.ndarray) -> Callable[[Iterator[pa.RecordBatch]], Iterato
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for _, data, offsets in _by_language(batches):
         symbols, _, _, goes_on = words_of(data, offsets)
-        grams = suffixes(symbols, goes_on)[:: max(1, len(symbols) // SAMPLED_GRAMS)]
-        yield pa.RecordBatch.from_arrays([pa.array([len(symbols)]), pa.array([grams.tobytes()])], ["words", "grams"])
+        if len(symbols):
+            table, numbers, _ = _numbered(symbols)
+            grams = np.stack([table[c] for c in suffixes(numbers, goes_on)], axis=1)[:: max(1, len(symbols) // SAMPLED_GRAMS)]
+            yield pa.RecordBatch.from_arrays([pa.array([len(symbols)]), pa.array([grams.tobytes()])], ["words", "grams"])
 
 
 def prefix_borders(docs: DataFrame, range_words: int = RANGE_WORDS) -> np.ndarray:
@@ -190,40 +202,57 @@ COUNTS = "lang string, gram array<bigint>, f bigint"
 
 
 def _union(borders: np.ndarray, least: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Adds up the transducers of a language's prefix range: its n-grams of 1 to 4 words from ``least`` on, and those that a border cuts, whatever they have here."""
+    """Adds up the words and the transducers of a language's part: words with their numbers (word not null), n-grams of 1 to 4 words from
+    ``least`` on, and those that a border cuts, whatever they have here."""
 
-    def totals(lang: str, part: int, grams: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def totals(lang: str, part: int, symbols: np.ndarray, columns: list[np.ndarray], counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         edges = borders[max(part - 1, 0) : part + 1]
-        new = np.zeros(len(grams), bool)
-        new[0] = True
-        for k in range(ORDER):
-            new = new.copy()
-            new[1:] |= grams[1:, k] != grams[:-1, k]
+        for k, new in enumerate(first_of_prefix(columns)):
             at = np.flatnonzero(new)
-            f, own = np.add.reduceat(counts, at), grams[at, : k + 1]
-            cut = (own[:, None, :] == edges[None, :, : k + 1]).all(axis=2).any(axis=1)
-            keep = ((f >= least) | cut) & (own[:, k] > 0)
-            own, f = own[keep], f[keep]
-            lists = pa.ListArray.from_arrays(np.arange(len(own) + 1, dtype=np.int32) * (k + 1), pa.array(own.ravel().astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(own), pa.string()), lists, pa.array(f)], ["lang", "gram", "f"])
+            f = np.add.reduceat(counts, at)
+            near = np.zeros(len(at), bool)
+            for edge in edges:
+                near |= np.logical_and.reduce([symbols[columns[j][at]] == edge[j] for j in range(k + 1)])
+            keep = ((f >= least) | near) & (columns[k][at] > 0)
+            at, f = at[keep], f[keep]
+            own = np.stack([symbols[columns[j][at]] for j in range(k + 1)], axis=1)
+            lists = pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32) * (k + 1), pa.array(own.ravel().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), lists, pa.array(f), pa.nulls(len(at), pa.string())], ["lang", "gram", "f", "word"])
+
+    def merged(transducers: list[tuple]) -> tuple:
+        symbols = np.unique(np.concatenate([t[0] for t in transducers]))
+        if symbols[0]:  # 0 stands for no word everywhere
+            symbols = np.concatenate((np.zeros(1, np.uint64), symbols))
+        numbers = [np.searchsorted(symbols, t[0]).astype(np.int32) for t in transducers]
+        columns = [np.concatenate([own[t[1][k]] for own, t in zip(numbers, transducers, strict=True)]) for k in range(ORDER)]
+        return symbols, *counted(columns, np.concatenate([t[2] for t in transducers]))
+
+    def closed(key: tuple[str, int], words: dict, transducers: list[tuple]) -> Iterator[pa.RecordBatch]:
+        if words:
+            yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(words)), pa.array([[s] for s, _ in words], pa.list_(pa.int64())), pa.array(list(words.values()), pa.int64()), pa.array([w for _, w in words])], ["lang", "gram", "f", "word"])
+        if transducers:
+            yield from totals(*key, *merged(transducers))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, grams, counts, waiting = None, [], [], 0
+        key, words, transducers, waiting = None, {}, [], 0
         for batch in batches:
-            for lang, part, data in zip(*(batch.column(c).to_pylist() for c in ("lang", "part", "transducer")), strict=True):
-                if key != (lang, part) or waiting > 2 * RANGE_WORDS:
+            for at in range(batch.num_rows):
+                own = (batch.column("lang")[at].as_py(), batch.column("part")[at].as_py())
+                if own != key:
                     if key:
-                        merged = counted(np.concatenate(grams), np.concatenate(counts))
-                        if key != (lang, part):
-                            yield from totals(*key, *merged)
-                        grams, counts = ([merged[0]], [merged[1]]) if key == (lang, part) else ([], [])
-                    key, waiting = (lang, part), 0
-                more = from_transducer(data)
-                grams.append(more[0])
-                counts.append(more[1])
-                waiting += len(more[1])
+                        yield from closed(key, words, transducers)
+                    key, words, transducers, waiting = own, {}, [], 0
+                data = batch.column("transducer")[at].as_py()
+                if data is None:
+                    word = (batch.column("symbol")[at].as_py(), batch.column("word")[at].as_py())
+                    words[word] = words.get(word, 0) + batch.column("n")[at].as_py()
+                    continue
+                transducers.append(from_transducer(data))
+                waiting += len(transducers[-1][2])
+                if waiting > MERGED and len(transducers) > 1:
+                    transducers, waiting = [merged(transducers)], 0
         if key:
-            yield from totals(*key, *counted(np.concatenate(grams), np.concatenate(counts)))
+            yield from closed(key, words, transducers)
 
     return run
 
@@ -338,11 +367,11 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, text_col:
     """
     base = docs.select(F.coalesce(F.col(lang_col), F.lit("und")).alias("lang"), whole(text_col).alias("text"))
     borders = prefix_borders(base)
-    shards = stored(base.mapInArrow(_shards(borders), SHARDS))
-    words = shards.where("word is not null").groupBy("lang", "symbol", "word").agg(F.sum("n").alias("n"))
+    shards = base.mapInArrow(_shards(borders), SHARDS).repartition(len(borders) + 1, "part", "lang").sortWithinPartitions("part", "lang")
+    found = stored(shards.mapInArrow(_union(borders, least), COUNTS + ", word string"))
+    words = found.where("word is not null").select("lang", F.col("gram")[0].alias("symbol"), "word", F.col("f").alias("n"))
     totals = words.groupBy("lang").agg(F.sum("n").alias("n"))
-    dealt = shards.where("transducer is not null").select("lang", "part", "transducer").repartition(len(borders) + 1, "part", "lang").sortWithinPartitions("part", "lang")
-    counts = stored(dealt.mapInArrow(_union(borders, least), COUNTS).groupBy("lang", "gram").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
+    counts = stored(found.where("word is null").groupBy("lang", "gram").agg(F.sum("f").alias("f")).where(F.col("f") >= least))
 
     phrases = counts.where(F.size("gram") > 1).withColumnRenamed("f", "a")
     cuts = phrases.withColumn("k", F.explode(F.sequence(F.lit(1), F.size("gram") - 1)))

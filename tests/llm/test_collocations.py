@@ -62,15 +62,15 @@ def test_no_documents(spark):
 def test_transducers_give_back_their_grams():
     r = np.random.default_rng(1)
     for size in (1, 5, 3000):
-        grams = r.integers(0, 9, (size, 4)).astype(np.uint64)
-        grams[:, 0] += np.uint64(1 << 62)
-        sorted_grams, counts = collocations.counted(grams)
-        want = Counter(map(tuple, grams.tolist()))
-        assert [tuple(g) for g in sorted_grams.tolist()] == sorted(want) and counts.tolist() == [want[g] for g in sorted(want)]
-        again = collocations.from_transducer(collocations.to_transducer(sorted_grams, counts))
-        assert (again[0] == sorted_grams).all() and (again[1] == counts).all()
-        twice = collocations.counted(np.concatenate((sorted_grams, again[0])), np.concatenate((counts, again[1])))
-        assert (twice[1] == 2 * counts).all()
+        columns = list(r.integers(0, 9, (4, size)).astype(np.int32))
+        symbols = np.concatenate((np.zeros(1, np.uint64), np.sort(r.integers(1, 1 << 62, 8).astype(np.uint64))))
+        got, counts = collocations.counted(columns)
+        want = Counter(zip(*(c.tolist() for c in columns), strict=True))
+        assert list(zip(*(c.tolist() for c in got), strict=True)) == sorted(want) and counts.tolist() == [want[g] for g in sorted(want)]
+        table, again, same = collocations.from_transducer(collocations.to_transducer(symbols, got, counts))
+        assert all((table[a] == symbols[b]).all() for a, b in zip(again, got, strict=True)) and (same == counts).all()
+        _, twice = collocations.counted([np.concatenate((c, c)) for c in got], np.concatenate((counts, counts)))
+        assert (twice == 2 * counts).all()
 
 
 def test_count_automaton_equals_a_dictionary():
