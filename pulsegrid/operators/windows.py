@@ -2,23 +2,26 @@
 
 Layout of the job: session bounds (one partial-aggregated pass) are cut into time blocks; every
 sample goes to the block of its own time and, near a block end, also to the following blocks its
-windows reach into (a halo of one window length). Samples and bounds meet on (session, block), and
-everything after that exchange - neighbour lookups, window assignment, per-window aggregation -
-is clustered by (session, block, ...), so it needs no further shuffle. A block holds a fixed span of
+windows reach into (a halo of the longest window). Samples and bounds meet on (session, block), and
+everything after that exchange is a sweep over the block's samples in time order. A block holds a fixed span of
 one session, so a long session is spread over many tasks and shuffle volume grows by
-halo/block only, not by the window overlap factor.
+halo/block only. The sweep works on mergeable pane states (`pulsegrid.functions.sweep`): no sample is copied per
+window, least and greatest values are not searched again, and windows of any number of lengths come from one exchange.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.functions import sweep
 from pulsegrid.schema import CONTEXT_COLUMNS, CONTEXT_NUMERIC, CONTEXT_TEXT, SENSOR_BLOCKS, SUMMARY_STATS, WINDOW_PREFERRED_ORDER
 
 TIME = "sample_offset_s"
@@ -82,25 +85,25 @@ def window_anchors(stream: DataFrame, spec: WindowSpec, keys: Sequence[str] = ("
     return grid.select(*keys, "k", anchor_time(spec).alias("window_end_s"))
 
 
-def _assign_blocks(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
+def _assign_blocks(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], extra: Sequence[str], lengths: Sequence[float]) -> DataFrame:
     """Samples joined with their session bounds on (session, block), halo copies included.
 
-    The cell is one struct column: struct equality keeps NULL session ids, and the join's partitioning
-    on that column is the one the later windows and groupings ask for, so samples are shuffled once.
+    The cell is one struct column: struct equality keeps NULL session ids.
     """
-    size = F.lit(spec.block_seconds)
+    longest = max(lengths)
+    size = F.lit(longest * spec.blocks_of_windows)
     cell = F.struct(*keys, "block").alias("__cell")
-    bounds = session_bounds(stream, spec, keys)
-    blocks = bounds.withColumn(
+    shortest = WindowSpec(spec.target_hz, min(lengths), spec.include_partial_windows)
+    blocks = session_bounds(stream, shortest, keys).withColumn(
         "block",
         F.explode_outer(
             F.sequence(
                 F.floor(F.col("first_anchor") / size).cast("long"),
-                F.floor((F.col("first_anchor") + F.col("n_anchors") * F.lit(spec.step_seconds)) / size).cast("long"),
+                F.floor((F.col("t_max") + F.lit(spec.step_seconds)) / size).cast("long"),
             )
         ),
-    ).select(cell, "t_min", "first_anchor", "n_anchors")
-    reach = F.lit(spec.window_seconds + spec.step_seconds)
+    ).select(cell, "t_min", "t_max")
+    reach = F.lit(longest + spec.step_seconds)
     samples = stream.where(F.col(TIME).isNotNull()).withColumn(
         "block",
         F.explode_outer(F.sequence(F.floor(F.col(TIME) / size).cast("long"), F.floor((F.col(TIME) + reach) / size).cast("long"))),
@@ -108,37 +111,6 @@ def _assign_blocks(stream: DataFrame, spec: WindowSpec, keys: Sequence[str], ext
     return samples.select(cell, TIME, *extra).join(blocks, "__cell")
 
 
-def _neighbours(df: DataFrame, cell: Sequence[str], order: Sequence[str], channels: Sequence[str]) -> DataFrame:
-    """Previous/next valid (time, value) of every channel, and the previous row time, within a block."""
-    names = ", ".join(f"`{c}`" for c in cell)
-    over = f"OVER (PARTITION BY {names} ORDER BY {', '.join(order)})"
-    exprs = {"__prev_t": F.expr(f"lag({TIME}) {over}")}
-    for c in channels:
-        packed = f"IF(`{c}` IS NULL, NULL, struct({TIME} AS t, `{c}` AS v))"
-        exprs[f"__p_{c}"] = F.expr(f"lag({packed}) IGNORE NULLS {over}")
-        exprs[f"__n_{c}"] = F.expr(f"lead({packed}) IGNORE NULLS {over}")
-    return df.withColumns(exprs)
-
-
-def _explode_ticks(df: DataFrame, spec: WindowSpec) -> DataFrame:
-    """One row per (sample, window containing it), only for windows whose anchor lies in the row's block."""
-    step, width, size = F.lit(spec.step_seconds), F.lit(spec.window_seconds), F.lit(spec.block_seconds)
-    t = F.col(TIME)
-    lo = F.greatest(F.ceil((t - F.col("first_anchor")) / step) - 1, F.lit(0).cast("long"))
-    hi = F.least(F.floor((t - F.col("first_anchor") + width) / step) + 1, F.col("n_anchors") - 1)
-    ranged = df.withColumns({"__lo": lo.cast("long"), "__hi": hi.cast("long")}).where("__lo <= __hi")
-    ticks = ranged.withColumn("k", F.explode_outer(F.sequence("__lo", "__hi"))).withColumn("window_end_s", anchor_time(spec))
-    start = F.col("window_end_s") - width
-    if spec.include_partial_windows:
-        start = F.greatest(F.col("t_min"), start)
-    return (
-        ticks.withColumn("window_start_s", start)
-        .where((t > F.col("window_start_s")) & (t <= F.col("window_end_s")))
-        .where(F.floor(F.col("window_end_s") / size) == F.col("__cell.block"))
-        .drop("__lo", "__hi")
-    )
-
-
 def sensor_channels(columns: Sequence[str]) -> dict[str, str]:
     """Channel column -> feature prefix, for the sensors present in ``columns``."""
     out: dict[str, str] = {}
@@ -152,64 +124,162 @@ def sensor_channels(columns: Sequence[str]) -> dict[str, str]:
     return out
 
 
-def _filtered(agg_sql: str, cond: str) -> Column:
-    return F.expr(f"{agg_sql} FILTER (WHERE {cond})")
-
-
-def _channel_aggregates(c: str, prefix: str) -> list[Column]:
-    x, prev, nxt = f"`{c}`", f"`__p_{c}`", f"`__n_{c}`"
-    inside_prev = f"{prev}.t > window_start_s"
-    is_last = f"{x} IS NOT NULL AND ({nxt}.t IS NULL OR {nxt}.t > window_end_s)"
-    aggs = [
-        F.expr(f"count({x})").alias(f"{prefix}__valid_count"),
-        F.expr(f"avg({x})").alias(f"{prefix}__mean"),
-        F.expr(f"stddev_pop({x})").alias(f"{prefix}__std"),
-        F.expr(f"min({x})").alias(f"{prefix}__min"),
-        F.expr(f"max({x})").alias(f"{prefix}__max"),
-        _filtered(f"max({x})", is_last).alias(f"{prefix}__last"),
-        F.expr(f"regr_slope({x}, {TIME})").alias(f"{prefix}__slope_per_s"),
-    ]
-    if prefix == "ibi":
-        delta = f"({x} - {prev}.v) * 1000.0D"
-        aggs += [
-            _filtered(f"avg(({delta}) * ({delta}))", f"{x} IS NOT NULL AND {inside_prev}").alias("__ibi_msd"),
-            F.expr(f"stddev_samp({x} * 1000.0D)").alias("__ibi_sd"),
-        ]
-    if prefix == "acc__mag":
-        still = f"CAST(abs({x} - {prev}.v) < 0.02D AS DOUBLE)"
-        aggs.append(_filtered(f"avg({still})", f"{x} IS NOT NULL AND {inside_prev}").alias("acc__stillness_frac"))
-    return aggs
-
-
-def _local_maxima(channels: Sequence[str]) -> Column:
-    """Per window, the rows that are a local maximum of some channel, as one array slot per channel.
-
-    One collected array for all channels: the peak threshold needs the window's own mean and spread.
-    """
-
-    def candidate(c: str) -> str:
-        x, prev, nxt = f"`{c}`", f"`__p_{c}`", f"`__n_{c}`"
-        inside = f"{prev}.t > window_start_s AND {nxt}.t <= window_end_s"
-        return f"IF({x} IS NOT NULL AND {inside} AND {x} > {prev}.v AND {x} >= {nxt}.v, {x}, CAST(NULL AS DOUBLE))"
-
-    slots = ", ".join(candidate(c) for c in channels)
-    return _filtered(f"collect_list(array({slots}))", f"coalesce({slots}, NULL) IS NOT NULL").alias("__peaks")
-
-
-def _channel_columns(prefix: str, slot: int) -> dict[str, Column]:
-    """Final columns of one channel from its aggregates."""
+@dataclass(frozen=True)
+class _Sweep:
+    """Arrow kernel of one job: which columns a block has and what its windows give."""
+
+    spec: WindowSpec
+    lengths: tuple[float, ...]
+    keys: tuple[str, ...]
+    context: tuple[str, ...]
+    channels: tuple[tuple[str, str], ...]
+    label: bool
+    fields: T.StructType
+    keep_gapped: bool
+
+    #: Rows of whole cells that are swept at once.
+    ROWS = 200_000
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < self.ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cells = self._cells(table)
+            cut = int(cells[-1])  # the last cell may go on
+            if cut:
+                yield from self._swept(table.slice(0, cut), cells[:-1])
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from self._swept(table, self._cells(table))
+
+    @staticmethod
+    def _cells(table: pa.Table) -> np.ndarray:
+        """First row of each cell."""
+        marks = [table.column(c).to_numpy() for c in ("__hash", "block")]
+        return np.flatnonzero(np.concatenate(([True], np.any([m[1:] != m[:-1] for m in marks], axis=0))))
+
+    def _ticks(self, t: np.ndarray, table: pa.Table, cells: np.ndarray, length: float) -> tuple[np.ndarray, ...]:
+        """(first row of the cell, start, end, first and end position) of the windows whose end lies in their cell's block."""
+        step, size = self.spec.step_seconds, max(self.lengths) * self.spec.blocks_of_windows
+        found = []
+        t_min, t_max, block = (table.column(c).to_numpy() for c in ("t_min", "t_max", "block"))
+        for begin, stop in zip(cells.tolist(), [*cells[1:].tolist(), len(t)], strict=True):
+            first = t_min[begin] if self.spec.include_partial_windows else t_min[begin] + length
+            if first > t_max[begin]:
+                continue
+            last = math.floor((t_max[begin] - first) / step)
+            low = max(0, math.ceil((block[begin] * size - first) / step) - 1)
+            ends = first + np.arange(low, min(last, math.floor(((block[begin] + 1) * size - first) / step) + 1) + 1) * step
+            ends = ends[np.floor(ends / size) == block[begin]]
+            starts = np.maximum(t_min[begin], ends - length) if self.spec.include_partial_windows else ends - length
+            own = t[begin:stop]
+            found.append((np.full(len(ends), begin), starts, ends, begin + np.searchsorted(own, starts, side="right"), begin + np.searchsorted(own, ends, side="right")))
+        if not found:
+            return tuple(np.zeros(0) for _ in range(3)) + (np.zeros(0, np.int64),) * 2
+        return tuple(np.concatenate(f) for f in zip(*found, strict=True))
+
+    def _swept(self, table: pa.Table, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        t = table.column(TIME).to_numpy()
+        for length in self.lengths:
+            cell, start, end, lo, hi = self._ticks(t, table, cells, length)
+            enough = hi - lo >= self.spec.min_window_rows
+            cell, start, end, lo, hi = cell[enough].astype(np.int64), start[enough], end[enough], lo[enough], hi[enough]
+            if not len(lo):
+                continue
+            gap, allowed = self._gaps(t, start, end, lo, hi)
+            if not self.keep_gapped:
+                good = gap <= allowed
+                cell, start, end, lo, hi, gap, allowed = (x[good] for x in (cell, start, end, lo, hi, gap, allowed))
+            out = {"window_start_s": start, "window_end_s": end, "source_rows": hi - lo, "window_max_gap_s": gap, "window_allowed_gap_s": allowed, "window_s": np.full(len(lo), length)}
+            columns = {k: table.column(k).take(pa.array(cell)) for k in self.keys}
+            for c in self.context:
+                columns[c] = self._first(table.column(c).combine_chunks(), lo, hi)
+            for c, prefix in self.channels:
+                out |= self._channel(table.column(c), t, lo, hi, prefix)
+            if self.label:
+                v, at, a, b = self._valid(table.column("pain_intensity"), lo, hi)
+                m = sweep.moments(v, t[at], a, b)
+                some = m["n"] > 0
+                out |= {"target_pain_count": m["n"], **{name: np.where(some, m[k], np.nan) for name, k in (("target_pain_nrs_0_10", "mean"), ("target_pain_min", "min"), ("target_pain_max", "max"))}}
+            columns |= {k: pa.array(v, from_pandas=True) for k, v in out.items()}
+            yield from pa.Table.from_arrays([columns[f.name] for f in self.fields], [f.name for f in self.fields]).combine_chunks().to_batches(50_000)
+
+    def _gaps(self, t: np.ndarray, start: np.ndarray, end: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Largest gap and the one allowed: the limit, or twice the median gap where that is more."""
+        limit = math.inf if self.spec.max_gap_seconds is None else float(self.spec.max_gap_seconds)
+        step = np.diff(t, prepend=t[:1])
+        positive = np.flatnonzero(step > 0)
+        a, b = np.searchsorted(positive, lo + 1), np.searchsorted(positive, hi)
+        b = np.maximum(a, b)
+        inner = sweep.reduced(step[positive], a, b, np.maximum, -np.inf)
+        measured = b > a
+        edges = np.maximum(np.maximum(t[lo] - start, end - t[hi - 1]), 0.0)
+        allowed = np.full(len(lo), limit)
+        open_ = np.flatnonzero(measured & (2 * inner > limit))  # elsewhere twice the median is no more than the limit
+        allowed[open_] = np.maximum(limit, 2.0 * sweep.medians(step[positive], a[open_], b[open_]))
+        return np.where(measured, np.maximum(inner, edges), 0.0), allowed
+
+    @staticmethod
+    def _first(column: pa.Array, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
+        """First value of each window."""
+        at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        position = np.append(at, len(column))[np.searchsorted(at, lo)]
+        return column.take(pa.array(np.where(position < hi, position, 0), mask=position >= hi))
+
+    @staticmethod
+    def _valid(column: pa.ChunkedArray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(values that are there, their rows, the windows' first and end position among them)."""
+        column = column.combine_chunks()
+        at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+        return column.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.float64), at, np.searchsorted(at, lo), np.searchsorted(at, hi)
+
+    def _channel(self, column: pa.ChunkedArray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray, prefix: str) -> dict[str, np.ndarray]:
+        v, at, a, b = self._valid(column, lo, hi)
+        m = sweep.moments(v, t[at], a, b)
+        n = m["n"]
+        some = n > 0
+        with np.errstate(invalid="ignore", divide="ignore"):
+            std = np.sqrt(m["m2"] / n)
+            out = {
+                f"{prefix}__valid_count": n, f"{prefix}__mean": np.where(some, m["mean"], np.nan), f"{prefix}__std": std,
+                f"{prefix}__min": np.where(some, m["min"], np.nan), f"{prefix}__max": np.where(some, m["max"], np.nan),
+                f"{prefix}__last": np.where(some, np.append(v, np.nan)[b - 1], np.nan),
+                f"{prefix}__slope_per_s": np.where((n > 1) & (m["t2"] > 0), m["vt"] / m["t2"], np.nan),
+            }
+            # A peak is above the value before and not below the one after, both in the window.
+            peak = np.flatnonzero((v[1:-1] > v[:-2]) & (v[1:-1] >= v[2:])) + 1
+            first, stop = np.searchsorted(peak, a + 1), np.searchsorted(peak, b - 1)
+            out[f"{prefix}__peak_count"] = sweep.count_above(v[peak], first, np.maximum(first, stop), np.where(some, m["mean"] + 0.25 * std, np.inf))
+            if prefix in ("ibi", "acc__mag"):
+                change = np.diff(v, prepend=v[:1])
+                pairs = np.maximum(n - 1, 0)
+                inner = np.minimum(a + 1, b)
+                per_pair = np.square(change * 1000.0) if prefix == "ibi" else (np.abs(change) < 0.02).astype(np.float64)
+                mean = sweep.reduced(per_pair, inner, b, np.add, 0.0) / pairs
+                if prefix == "ibi":
+                    out |= {"ibi__rmssd_ms": np.sqrt(mean), "ibi__sdnn_ms": np.where(n > 1, 1000.0 * np.sqrt(m["m2"] / (n - 1)), np.nan)}
+                else:
+                    out["acc__stillness_frac"] = mean
+        return out
+
+
+def _channel_columns(prefix: str) -> dict[str, Column]:
+    """Final columns of one channel from those of the sweep."""
     n = F.col(f"{prefix}__valid_count")
-    threshold = F.col(f"{prefix}__mean") + F.lit(0.25) * F.col(f"{prefix}__std")
     cols = {
         f"{prefix}__present": F.when(n > 0, F.lit(1)).otherwise(F.lit(0)),
         f"{prefix}__valid_count": n,
         f"{prefix}__valid_frac": n / F.col("source_rows"),
-        **{f"{prefix}__{s}": F.col(f"{prefix}__{s}") for s in SUMMARY_STATS},
-        f"{prefix}__peak_count": F.size(F.filter("__peaks", lambda v: F.get(v, slot) > threshold)).cast("long"),
+        **{f"{prefix}__{s}": F.col(f"{prefix}__{s}") for s in (*SUMMARY_STATS, "peak_count")},
     }
     if prefix == "ibi":
-        cols["ibi__rmssd_ms"] = F.sqrt("__ibi_msd")
-        cols["ibi__sdnn_ms"] = F.when(n > 1, F.col("__ibi_sd"))
+        cols |= {c: F.col(c) for c in ("ibi__rmssd_ms", "ibi__sdnn_ms")}
     if prefix == "acc__mag":
         cols["acc__present"] = cols["acc__mag__present"]
         cols["acc__valid_count"] = n
@@ -263,7 +333,13 @@ def window_features(
     A window covers ``(end - W, end]``. It needs ``min_window_rows`` rows and must not contain a gap
     wider than max(configured gap, twice its median positive gap), boundaries included.
     """
-    spec.check()
+    return _window_features(stream, spec, (spec.window_seconds,), keys, all_blocks, keep_gapped).drop("window_s")
+
+
+def _window_features(stream: DataFrame, spec: WindowSpec, lengths: Sequence[float], keys: Sequence[str], all_blocks: bool, keep_gapped: bool) -> DataFrame:
+    """Windows of all ``lengths`` (column window_s), from one exchange of the samples."""
+    for seconds in lengths:
+        replace(spec, window_seconds=float(seconds)).check()
     have = set(stream.columns)
     channels = sensor_channels(stream.columns)
     clean = stream.withColumns({c: _finite(c) for c in [TIME, *[c for c in channels if c != "acc_mag"]]})
@@ -280,51 +356,23 @@ def window_features(
     seq = ["sample_index"] if "sample_index" in have else []
     label = ["pain_intensity"] if "pain_intensity" in have else []
 
-    cell = ["__cell"]
-    placed = _assign_blocks(clean, spec, keys, [*seq, *identity, *context, *label, *channels])
-    linked = _neighbours(placed, cell, [TIME, *seq], list(channels))
-    ticks = _explode_ticks(linked, spec)
-
-    gap = f"({TIME} - __prev_t)"
-    inner_gap = f"__prev_t > window_start_s AND {gap} > 0"
-    aggs = [
-        F.count(F.lit(1)).alias("source_rows"),
-        F.min(TIME).alias("__t_first"),
-        F.max(TIME).alias("__t_last"),
-        _filtered(f"max({gap})", inner_gap).alias("__gap_max"),
-        _filtered(f"percentile({gap}, 0.5D)", inner_gap).alias("__gap_median"),
-    ]
-    position = f"struct({', '.join([TIME, *seq])})"
-    for c in [*identity, *context]:
-        aggs.append(_filtered(f"min_by(`{c}`, {position})", f"`{c}` IS NOT NULL").alias(c))
-    for c, prefix in channels.items():
-        aggs += _channel_aggregates(c, prefix)
-    if channels:
-        aggs.append(_local_maxima(list(channels)))
+    placed = _assign_blocks(clean, spec, keys, [*seq, *identity, *context, *label, *channels], lengths)
+    sorted_ = placed.sortWithinPartitions("__cell", TIME, *seq)
+    values = list(dict.fromkeys([*identity, *context, *label, *channels]))
+    flat = sorted_.select(*[F.col(f"__cell.{k}").alias(k) for k in keys], F.col("__cell.block").alias("block"), F.xxhash64("__cell").alias("__hash"), TIME, "t_min", "t_max", *values)
+    double, long = T.DoubleType(), T.LongType()
+    fields = [T.StructField(c, flat.schema[c].dataType) for c in [*keys, *identity, *context]]
+    fields += [T.StructField(c, long if c == "source_rows" else double) for c in ("window_start_s", "window_end_s", "source_rows", "window_max_gap_s", "window_allowed_gap_s", "window_s")]
+    for prefix in channels.values():
+        fields += [T.StructField(f"{prefix}__{s}", long if s in ("valid_count", "peak_count") else double) for s in ("valid_count", *SUMMARY_STATS, "peak_count")]
+        fields += [T.StructField(c, double) for c in {"ibi": ("ibi__rmssd_ms", "ibi__sdnn_ms"), "acc__mag": ("acc__stillness_frac",)}.get(prefix, ())]
     if label:
-        aggs += [
-            F.count("pain_intensity").alias("target_pain_count"),
-            F.avg("pain_intensity").alias("target_pain_nrs_0_10"),
-            F.min("pain_intensity").alias("target_pain_min"),
-            F.max("pain_intensity").alias("target_pain_max"),
-        ]
-    grouped = ticks.groupBy(*cell, "k", "window_start_s", "window_end_s").agg(*aggs)
-    rows = grouped.where(F.col("source_rows") >= spec.min_window_rows)
-
-    unlimited = F.lit(math.inf) if spec.max_gap_seconds is None else F.lit(float(spec.max_gap_seconds))
-    edge_first = F.greatest(F.col("__t_first") - F.col("window_start_s"), F.lit(0.0))
-    edge_last = F.greatest(F.col("window_end_s") - F.col("__t_last"), F.lit(0.0))
-    measured = F.col("__gap_max").isNotNull()
-    rows = rows.withColumns(
-        {
-            "window_max_gap_s": F.when(measured, F.greatest("__gap_max", edge_first, edge_last)).otherwise(F.lit(0.0)),
-            "window_allowed_gap_s": F.when(measured, F.greatest(unlimited, F.col("__gap_median") * 2.0)).otherwise(unlimited),
-        }
-    )
-    contiguous = F.col("window_max_gap_s") <= F.col("window_allowed_gap_s")
-    if not keep_gapped:
-        rows = rows.where(contiguous)
+        fields += [T.StructField("target_pain_count", long), *[T.StructField(c, double) for c in ("target_pain_nrs_0_10", "target_pain_min", "target_pain_max")]]
+    schema = T.StructType(fields)
+    kernel = _Sweep(spec, tuple(float(s) for s in lengths), tuple(keys), (*identity, *context), tuple(channels.items()), bool(label), schema, keep_gapped)
+    rows = flat.mapInArrow(kernel, schema)
 
+    contiguous = F.col("window_max_gap_s") <= F.col("window_allowed_gap_s")
     out: dict[str, Column] = {
         "window_seconds": F.col("window_end_s") - F.col("window_start_s"),
         "target_hz": F.lit(float(spec.target_hz)),
@@ -332,7 +380,7 @@ def window_features(
     }
     present = list(channels.values())
     for prefix in all_prefixes() if all_blocks else present:
-        out |= _channel_columns(prefix, present.index(prefix)) if prefix in present else absent_columns(prefix)
+        out |= _channel_columns(prefix) if prefix in present else absent_columns(prefix)
     if label:
         n = F.col("target_pain_count")
         out |= {
@@ -340,8 +388,8 @@ def window_features(
             "target_pain_coverage": n / F.col("source_rows"),
             **{c: F.col(c) for c in ("target_pain_nrs_0_10", "target_pain_min", "target_pain_max", "target_pain_count")},
         }
-    lead = [*[F.col(f"__cell.{k}").alias(k) for k in keys], *identity, "window_start_s", "window_end_s", "source_rows", "window_max_gap_s", "window_allowed_gap_s"]
-    return rows.select(*lead, *context, *[e.alias(n) for n, e in out.items()])
+    lead = [*keys, *identity, "window_start_s", "window_end_s", "source_rows", "window_max_gap_s", "window_allowed_gap_s"]
+    return rows.select(*lead, *context, *[e.alias(n) for n, e in out.items()], "window_s")
 
 
 def stable_window_table(windows: DataFrame) -> DataFrame:
@@ -375,17 +423,11 @@ def cap_sessions(stream: DataFrame, max_sessions: int, keys: Sequence[str] = ("d
     return stream.join(kept, F.col(dataset).eqNullSafe(F.col("__d")) & F.col(session).eqNullSafe(F.col("__s")), "left_semi")
 
 
-def multiscale(stream: DataFrame, spec: WindowSpec, lengths: Sequence[float], **kwargs) -> DataFrame:
-    """The same table at several history lengths, stacked with a ``window_s`` column."""
-    out = None
-    for seconds in lengths:
-        scaled = WindowSpec(
-            spec.target_hz, float(seconds), spec.include_partial_windows, spec.min_window_rows, spec.max_gap_seconds,
-            spec.blocks_of_windows,
-        )
-        part = window_features(stream, scaled, **kwargs).withColumn("window_s", F.lit(float(seconds)))
-        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return out
+def multiscale(
+    stream: DataFrame, spec: WindowSpec, lengths: Sequence[float], keys: Sequence[str] = ("dataset_id", "session_id"), all_blocks: bool = True, keep_gapped: bool = False
+) -> DataFrame:
+    """The same table at several history lengths, stacked with a ``window_s`` column; the samples are exchanged once."""
+    return _window_features(stream, spec, lengths, keys, all_blocks, keep_gapped)
 
 
 def pane_summary(
