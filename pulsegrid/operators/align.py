@@ -1,4 +1,4 @@
-"""Aligning series: as-of, interval, minute-cover and dimension joins that split long sessions by time."""
+"""Aligning series: as-of, interval and dimension joins that split long sessions by time."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulsegrid.operators.intervals import MINUTE_US, covered_at, in_minutes, merged
 from pulsegrid.operators.scale import null_safe_join, running_index
 
 
@@ -202,38 +203,30 @@ def apply_protocol(stream: DataFrame, segments: DataFrame, keys: Sequence[str],
     return out.withColumn("wesad_protocol_segment", F.coalesce("wesad_protocol_segment", F.lit("unknown")))
 
 
-def minute_cover(intervals: DataFrame, keys: Sequence[str], start: str, end: str, kind: str) -> DataFrame:
-    """Distinct minutes touched by the intervals, per key and kind."""
-    return _minutes(intervals, keys, start, end, kind).distinct()
+#: A day, in minutes; interval records go to time buckets of 30.
+DAY = 1440
 
 
-def _minutes(intervals: DataFrame, keys: Sequence[str], start: str, end: str, kind: str) -> DataFrame:
-    from pulsegrid.functions.text import minute_ceil, minute_floor
-
-    return (
-        intervals.where(F.col(start).isNotNull() & (F.col(end) >= F.col(start)))
-        .select(*keys, kind, F.explode_outer(F.sequence(minute_floor(start), minute_ceil(end), F.expr("INTERVAL 1 MINUTE"))).alias("minute"))
-    )
+def minute_counts(intervals: DataFrame, keys: Sequence[str], start: str, end: str, kind: str) -> DataFrame:
+    """Number of different minutes that the intervals of a key and kind touch: from the lengths of their union, not from minutes."""
+    union = merged(in_minutes(intervals, start, end), [*keys, kind], "__from", "__to", 30 * DAY)
+    return union.groupBy(*keys, kind).agg(F.sum(F.col("until") - F.col("at")).alias("minutes"))
 
 
 def archetype_label(samples: DataFrame, intervals: DataFrame, keys: Sequence[str], ts: str, start: str, end: str, kind: str) -> DataFrame:
     """Archetype of each sample from the minutes covered by interval records.
 
-    Priority, highest first: workout or exercise, standing, sleep; otherwise awake. All interval kinds
-    collapse to one flag row per minute, so the samples are joined once.
+    Priority, highest first: workout or exercise, standing, sleep; otherwise awake. Records and samples run through one
+    sweep over time.
     """
-    from pulsegrid.functions.text import minute_floor
-
-    flags = _minutes(intervals, keys, start, end, kind).groupBy(*keys, "minute").agg(
-        F.max(F.col(kind) == "sleep").alias("__sleep"), F.max(F.col(kind) == "stand").alias("__stand"),
-        F.max(F.col(kind).isin("workout", "exercise")).alias("__active"),
-    )
+    flags = {"__active": F.col(kind).isin("workout", "exercise"), "__stand": F.col(kind) == "stand", "__sleep": F.col(kind) == "sleep"}
+    minute = F.floor(F.unix_micros(ts) / F.lit(MINUTE_US))
+    found = covered_at(samples, keys, minute, in_minutes(intervals, start, end), "__from", "__to", flags, 30 * DAY)
     label = (
         F.when(F.col("__active"), "workout_or_exercise").when(F.col("__stand"), "standing").when(F.col("__sleep"), "sleep")
         .otherwise("awake_nonworkout")
     )
-    joined = samples.withColumn("minute", minute_floor(ts)).join(flags, [*keys, "minute"], "left")
-    return joined.withColumn("archetype", label).drop("__sleep", "__stand", "__active")
+    return found.withColumn("archetype", label).drop(*flags)
 
 
 def anchor_samples(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import text as X
 from pulsegrid.operators import aggregates as agg
 from pulsegrid.operators import align as A
+from pulsegrid.operators import intervals as I
 from pulsegrid.plans.registry import query, table
 from pulsegrid.plans.views import STREAM_SQL, events_stream, r6, rounded
 
@@ -174,7 +175,7 @@ def _archetypes(spark, sf):
 
 @query("minute_membership", f"WITH {MINUTE_SQL} SELECT kind, user_id, count(*) AS minutes FROM mins GROUP BY ALL")
 def minute_membership(spark, sf):
-    return A.minute_cover(_intervals(spark, sf), ["user_id"], "s", "e", "kind").groupBy("kind", "user_id").agg(F.count(F.lit(1)).alias("minutes"))
+    return A.minute_counts(_intervals(spark, sf), ["user_id"], "s", "e", "kind").select("kind", "user_id", "minutes")
 
 
 @query("archetype_label", f"WITH {MINUTE_SQL} SELECT event_id, archetype FROM hrs")
@@ -191,6 +192,19 @@ def summary_quantiles(spark, sf):
     return rounded(agg.quantile_summary(_archetypes(spark, sf), ["archetype"], "value"))
 
 
+@query(
+    "interval_union",
+    f"""WITH {MINUTE_SQL}, u AS (SELECT user_id, kind, s, e FROM iv WHERE e >= s),
+    m AS (SELECT user_id, kind, CAST(floor(epoch_us(s) / 60000000) AS BIGINT) AS a, CAST(floor((epoch_us(e) + 59999999) / 60000000) AS BIGINT) + 1 AS b FROM u),
+    g AS (SELECT *, max(b) OVER (PARTITION BY user_id, kind ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM m),
+    r AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, kind ORDER BY a, b) AS n FROM g)
+    SELECT user_id, kind, min(a) AS at, max(b) AS until FROM r GROUP BY user_id, kind, n""",
+)
+def interval_union(spark, sf):
+    """Disjoint pieces of each person's records of a kind, in minutes."""
+    return I.merged(I.in_minutes(_intervals(spark, sf), "s", "e"), ["user_id", "kind"], "__from", "__to", 30 * A.DAY)
+
+
 @query(
     "minute_set_ops",
     f"""WITH {MINUTE_SQL}, a AS (SELECT user_id, minute FROM mins WHERE kind = 'workout'), b AS (SELECT user_id, minute FROM mins WHERE kind = 'exercise')
@@ -199,13 +213,8 @@ def summary_quantiles(spark, sf):
     SELECT 'except', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)""",
 )
 def minute_set_ops(spark, sf):
-    cover = A.minute_cover(_intervals(spark, sf), ["user_id"], "s", "e", "kind")
-    a, b = (cover.where(F.col("kind") == k).select("user_id", "minute") for k in ("workout", "exercise"))
-
-    def size(name, df):
-        return df.agg(F.count(F.lit(1)).alias("minutes")).select(F.lit(name).alias("op"), "minutes")
-
-    return size("union", a.union(b).distinct()).unionByName(size("intersect", a.intersect(b))).unionByName(size("except", a.exceptAll(b)))
+    records = I.in_minutes(_intervals(spark, sf), "s", "e")
+    return I.set_sizes(records, ["user_id"], "__from", "__to", F.col("kind") == "workout", F.col("kind") == "exercise", 30 * A.DAY, "minutes")
 
 
 ANCHOR_SQL = f"""{STREAM_SQL},
