@@ -27,7 +27,7 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 URL = re.compile(r"[^\s<>\"'`|\\^{}]+")
 #: What may stand between a cue and its identifier, and the identifier: at least six characters, one of them a digit.
 ASSIGN = re.compile(r"(?:(?:[_-][A-Za-z]{1,20}){1,4}(?=\s{0,3}[:=])|\s?(?:number|no\.?|key|id|(?i:number|no\.?|key|id)(?![A-Za-z0-9])))?\s{0,3}[:=#]?\s{0,3}[\"']?")
-IDENTIFIER = re.compile(r"(?=[A-Za-z_-]*[0-9])[A-Za-z0-9_-]{6,}")
+IDENTIFIER = re.compile(r"[A-Za-z0-9_-]+")
 #: Numbers in groups, behind the cues that may have them: 6 to 34 digits in all.
 GROUPS, GROUPED_CUES = re.compile(r"[0-9]{2,6}(?:[\x20-][0-9]{2,6})+(?![A-Za-z0-9])"), ("account", "acct", "passport", "ssn")
 IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}(?:[\x20\xa0-]?[A-Za-z0-9]){11,30}")
@@ -74,12 +74,29 @@ def iban_end(text: str, at: int) -> int:
     return places[-1] + 1 if int("".join(str(int(c, 36)) for c in code[4:] + code[:4])) % 97 == 1 else 0
 
 
-def account_span(text: str, cue: str, at: int) -> tuple[int, int] | None:
+class IdentifierRuns:
+    """Ends of identifiers: a run is read once, however many cues stand inside it."""
+
+    def __init__(self, text: str):
+        self.text, self.start, self.end, self.digit = text, 0, 0, -1
+
+    def end_at(self, at: int) -> int:
+        """End of the identifier at ``at`` (six characters or more, one of them a digit), or 0."""
+        if not self.start <= at < self.end:
+            m = IDENTIFIER.match(self.text, at)
+            if not m:
+                return 0
+            self.start, self.end = at, m.end()
+            self.digit = next((i for i in range(self.end - 1, at - 1, -1) if "0" <= self.text[i] <= "9"), -1)
+        return self.end if self.end - at >= 6 and self.digit >= at else 0
+
+
+def account_span(text: str, cue: str, at: int, runs: IdentifierRuns) -> tuple[int, int] | None:
     """(start, end) of the identifier at ``at``, behind ``cue``."""
     if cue == "iban":
         # "no" may be the country.
         return next(((start, end) for start in (at, at - 2) if (end := iban_end(text, start))), None)
-    ends = [m.end()] if (m := IDENTIFIER.match(text, at)) else []
+    ends = [end] if (end := runs.end_at(at)) else []
     if cue in GROUPED_CUES:
         if cue in ("account", "acct") and (end := iban_end(text, at)):
             return at, end
@@ -97,6 +114,7 @@ def find_pii(text: str) -> list[tuple[int, int, int]]:
     """(start, kind as its place in KINDS, end) of all spans, in order; each part of the text is expanded once per kind."""
     out: list[tuple[int, int, int]] = []
     email_end = card_end = quad_end = phone_end = url_end = account_end = 0
+    runs = IdentifierRuns(text)
     for last, (kind, size) in cue_automaton().iter(text):
         at = last - size + 1
         if kind == "digit":
@@ -141,7 +159,7 @@ def find_pii(text: str) -> list[tuple[int, int, int]]:
                 m = AWS_TAIL.match(text, last + 1)
                 span = (at, m.end()) if m else None
             else:
-                span = account_span(text, text[at : last + 1].lower(), ASSIGN.match(text, last + 1).end())
+                span = account_span(text, text[at : last + 1].lower(), ASSIGN.match(text, last + 1).end(), runs)
             if span:
                 account_end = span[1]
                 out.append((span[0], 5, span[1]))

@@ -18,6 +18,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: A section ends after a line break, or after a sentence's end and the blanks that follow.
 SENTENCES = r"(?:[.!?][\x20\x09-\x0D]|\n)[\x20\x09-\x0D]*"
 RULES = ("start", "end", "majority")
+#: White space as the pre-tokenizer knows it, in runs that its backtracking had better not see.
+LONG_BLANK = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{1000,}")
 
 
 @cache
@@ -31,13 +33,25 @@ def _encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), sizes
 
 
+def encoded(text: str, encoding: tiktoken.Encoding) -> list[int]:
+    """Tokens of ``text``. A long run of white space is a piece by itself but for its last character, which goes with what
+    follows, as PATTERN has it; it is merged as one piece, so that runs of any length are encoded."""
+    tokens, begin = [], 0
+    for run in LONG_BLANK.finditer(text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        tokens += encoding.encode_ordinary(text[begin : run.start()])
+        tokens += encoding._encode_single_piece(text[run.start() : end])
+        begin = end
+    return tokens + encoding.encode_ordinary(text[begin:])
+
+
 def token_spans(text: str, path: str) -> tuple[np.ndarray, np.ndarray]:
     """First character and end character of every token. Byte-level tokens follow each other without gaps, so lengths give offsets;
 
     tokens that share the bytes of one character all span it.
     """
     encoding, sizes = _encoding(path)
-    ends = np.cumsum(sizes[np.array(encoding.encode_ordinary(text), np.int64)])
+    ends = np.cumsum(sizes[np.array(encoded(text, encoding), np.int64)])
     if not len(ends):
         return ends, ends
     starts = np.concatenate(([0], ends[:-1]))
