@@ -149,6 +149,12 @@ def rmssd(arr: Column) -> Column:
     return F.sqrt(mean(F.transform(diffs(arr), lambda d: d * d)))
 
 
+def jerk(arr: Column, hz: float) -> tuple[Column, Column]:
+    """Mean absolute and root mean square rate of change per second."""
+    rate = F.transform(diffs(arr), lambda d: d * F.lit(float(hz)))
+    return mean(F.transform(rate, lambda r: F.abs(r))), F.sqrt(mean(F.transform(rate, lambda r: r * r)))
+
+
 def largest_mean_shift(arr: Column) -> Column:
     """Largest absolute difference between the means before and after a split point."""
     n = F.size(arr)
