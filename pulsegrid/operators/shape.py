@@ -6,14 +6,18 @@ whatever the number of sensors; the variants are the true order, a seeded shuffl
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.functions import arrays as AR
 from pulsegrid.functions import kernels as KE
-from pulsegrid.operators.align import anchor_samples
+from pulsegrid.functions import sweep
 from pulsegrid.schema import COUPLING_PAIRS, SHAPE_SENSORS
 
 VARIANTS = ("shape", "shuffle", "reverse")
@@ -51,23 +55,130 @@ def with_variants(signals: DataFrame, column: str, seed: int, keys: Sequence[str
     return signals.select(*keep, F.explode_outer(variants).alias("__v")).select(*keep, "__v.variant", F.col("__v.signal").alias(column))
 
 
+#: Windows in a time block of samples and anchors.
+BLOCK_WINDOWS = 8
+
+
+@dataclass(frozen=True)
+class _Signals:
+    """Arrow kernel: samples (side 0) and anchors (side 1) of a block in time order, to one row per anchor and sensor."""
+
+    sensors: tuple[str, ...]
+    window_seconds: float
+    hz: float
+    fields: T.StructType
+
+    #: Rows of whole blocks that are taken at once.
+    ROWS = 100_000
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+        for batch in batches:
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < self.ROWS:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            cells = self._cells(table)
+            cut = int(cells[-1])  # the last block may go on
+            if cut:
+                yield from self._described(table.slice(0, cut), cells[:-1])
+            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+        if rows:
+            table = pa.Table.from_batches(held).combine_chunks()
+            yield from self._described(table, self._cells(table))
+
+    @staticmethod
+    def _cells(table: pa.Table) -> np.ndarray:
+        marks = [table.column(c).to_numpy() for c in ("__hash", "__b")]
+        return np.flatnonzero(np.concatenate(([True], np.any([m[1:] != m[:-1] for m in marks], axis=0))))
+
+    def _described(self, table: pa.Table, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
+        side, time = table.column("__side").to_numpy(), table.column("__t").to_numpy()
+        sample, anchor = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        t, end = time[sample], time[anchor]
+        bounds = np.append(cells, table.num_rows)
+        first_sample, first_anchor = np.searchsorted(sample, bounds), np.searchsorted(anchor, bounds)
+        lo, hi = self._between(t, end - self.window_seconds, end, first_sample, first_anchor)
+        full = np.flatnonzero(hi > lo)
+        carried = table.take(pa.array(anchor[full]))
+        for sensor in self.sensors:
+            column = table.column(sensor).take(pa.array(sample)).combine_chunks()
+            at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))
+            v, own = column.take(pa.array(at)).to_numpy(zero_copy_only=False).astype(np.float64), t[at]
+            a, b = np.searchsorted(at, lo[full]), np.searchsorted(at, hi[full])
+            m = sweep.moments(v, own, a, b)
+            some = m["n"] > 0
+            with np.errstate(invalid="ignore", divide="ignore"):
+                std = np.sqrt(m["m2"] / m["n"])
+            grids = self._grids(v, own, np.searchsorted(at, first_sample), a, b, end[full], np.searchsorted(full, first_anchor))
+            values = {
+                "sensor": pa.array([sensor] * len(full), pa.string()), "source_rows": pa.array((hi - lo)[full]), "valid_count": pa.array(m["n"]), "mean": np.where(some, m["mean"], np.nan), "std": std,
+                "min": np.where(some, m["min"], np.nan), "max": np.where(some, m["max"], np.nan), "valid_frac": pa.array(m["n"] / (hi - lo)[full]), "last": np.where(some, np.append(v, np.nan)[b - 1], np.nan), "grid": grids,
+            }
+            columns = [carried.column("__t" if f.name == "window_end_s" else f.name) if f.name not in values else values[f.name] if isinstance(values[f.name], pa.Array) else pa.array(values[f.name], from_pandas=True) for f in self.fields]
+            yield from pa.Table.from_arrays(columns, [f.name for f in self.fields]).combine_chunks().to_batches(20_000)
+
+    @staticmethod
+    def _between(t: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of the samples in (start, end] of each window, block by block."""
+        lo, hi = np.zeros(len(end), np.int64), np.zeros(len(end), np.int64)
+        for i, (a, b) in enumerate(zip(windows[:-1].tolist(), windows[1:].tolist(), strict=True)):
+            if a < b:
+                own = t[first[i] : first[i + 1]]
+                lo[a:b], hi[a:b] = first[i] + np.searchsorted(own, start[a:b], side="right"), first[i] + np.searchsorted(own, end[a:b], side="right")
+        return lo, hi
+
+    def _grids(self, v: np.ndarray, t: np.ndarray, first: np.ndarray, a: np.ndarray, b: np.ndarray, end: np.ndarray, windows: np.ndarray) -> pa.Array:
+        """Straight lines between the samples at start, start + 1/hz, ..., end, with held edges; of samples at one time the first counts.
+
+        NULL unless a window has 4 samples at 4 different times that span a second, and 8 grid points.
+        """
+        points = len(np.arange(0.0, self.window_seconds + 0.5 / self.hz, 1.0 / self.hz))
+        out, good = np.zeros((len(end), points)), np.zeros(len(end), bool)
+        for i, (w, x) in enumerate(zip(windows[:-1].tolist(), windows[1:].tolist(), strict=True)):
+            own = slice(int(first[i]), int(first[i + 1]))
+            if w == x or own.stop - own.start < 4 or points < 8:
+                continue
+            times, at = np.unique(t[own], return_index=True)
+            values = v[own][at]
+            lo, hi = np.searchsorted(at, a[w:x] - own.start), np.searchsorted(at, b[w:x] - own.start)
+            fit = np.flatnonzero((hi - lo >= 4) & (times[np.minimum(hi - 1, len(times) - 1)] - times[np.minimum(lo, len(times) - 1)] >= 1.0))
+            if not len(fit):
+                continue
+            lo, hi = lo[fit, None], hi[fit, None]
+            ticks = np.clip((end[w:x][fit] - self.window_seconds)[:, None] + np.arange(points) / self.hz, times[lo], times[hi - 1])
+            j = np.clip(np.searchsorted(times, ticks, side="right") - 1, lo, hi - 2)
+            out[w + fit] = values[j] + (values[j + 1] - values[j]) * ((ticks - times[j]) / (times[j + 1] - times[j]))
+            good[w + fit] = True
+        offsets = np.concatenate(([0], np.cumsum(np.where(good, points, 0)))).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, pa.array(out[good].ravel()), mask=pa.array(~good))
+
+
 def window_signals(
     anchors: DataFrame, stream: DataFrame, keys: Sequence[str], sensors: Sequence[str], window_seconds: float, hz: float, anchor_id: str,
 ) -> DataFrame:
-    """One row per (anchor, sensor): sample counts, summary of the raw values, and the resampled grid."""
-    rows = anchor_samples(anchors.select(*keys, anchor_id, "window_end_s"), stream, keys, window_seconds, ["sample_index", *sensors])
-    long = rows.select(
-        *keys, anchor_id, "window_end_s", "sample_offset_s", "sample_index",
-        F.explode_outer(F.array(*[F.struct(F.lit(s).alias("sensor"), F.col(s).cast("double").alias("v")) for s in sensors])).alias("p"),
-    ).select(*keys, anchor_id, "window_end_s", "sample_offset_s", "sample_index", "p.sensor", "p.v")
-    sample = F.when(F.col("v").isNotNull(), F.struct(F.col("sample_offset_s").alias("t"), F.col("sample_index").alias("s"), "v"))
-    grouped = long.groupBy(*keys, anchor_id, "window_end_s", "sensor").agg(
-        F.count(F.lit(1)).alias("source_rows"), F.count("v").alias("valid_count"), F.sort_array(F.collect_list(sample)).alias("__s"),
-        F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
-    grid = KE.resample(hz)(F.transform("__s", lambda s: s["t"]), F.transform("__s", lambda s: s["v"]),
-                           F.col("window_end_s") - F.lit(float(window_seconds)), F.col("window_end_s"))
-    return grouped.withColumns(
-        {"valid_frac": F.col("valid_count") / F.col("source_rows"), "last": F.get("__s", F.size("__s") - 1)["v"], "grid": grid}).drop("__s")
+    """One row per (anchor, sensor) whose window has a sample: counts, summary of the raw values, and the resampled grid.
+
+    Samples and anchors meet once, in time blocks of BLOCK_WINDOWS windows with a halo of one; samples are not copied per
+    anchor, and all sensors come from the same pass.
+    """
+    size = F.lit(float(window_seconds) * BLOCK_WINDOWS)
+    block = lambda x: F.floor(x / size).cast("long")
+    t = F.col("sample_offset_s")
+    reach = F.explode_outer(F.sequence(block(t), block(t + F.lit(float(window_seconds)))))
+    samples = stream.where(t.isNotNull()).select(*keys, reach.alias("__b"), t.alias("__t"), F.lit(0).alias("__side"), F.col("sample_index").cast("long").alias("__s"), *[F.col(s).cast("double").alias(s) for s in sensors])
+    ends = F.col("window_end_s").cast("double")
+    marks = anchors.where(ends.isNotNull()).select(*keys, block(ends).alias("__b"), ends.alias("__t"), F.lit(1).alias("__side"), anchor_id)
+    both = samples.unionByName(marks, allowMissingColumns=True)
+    dealt = both.repartition(*keys, "__b").sortWithinPartitions(*keys, "__b", "__t", "__side", "__s")
+    flat = dealt.withColumn("__hash", F.xxhash64(F.struct(*keys)))
+    double, long = T.DoubleType(), T.LongType()
+    fields = [T.StructField(c, flat.schema[c].dataType) for c in [*keys, anchor_id]] + [T.StructField("window_end_s", double), T.StructField("sensor", T.StringType())]
+    fields += [T.StructField(c, long if c in ("source_rows", "valid_count") else double) for c in ("source_rows", "valid_count", "mean", "std", "min", "max", "valid_frac", "last")]
+    schema = T.StructType([*fields, T.StructField("grid", T.ArrayType(double))])
+    return flat.mapInArrow(_Signals(tuple(sensors), float(window_seconds), float(hz), schema), schema)
 
 
 def shape_long(

@@ -9,7 +9,7 @@ from pulsegrid.functions import kernels as KE
 from pulsegrid.operators import shape as SH
 from pulsegrid.operators.windows import window_anchors
 from pulsegrid.plans.registry import query
-from pulsegrid.plans.views import SIGNAL_SQL, SPEC, STREAM_SQL, events_stream, rounded, signals
+from pulsegrid.plans.views import CHANNELS, SIGNAL_SQL, SPEC, STREAM_SQL, events_stream, rounded, signals
 
 HZ = 4.0
 
@@ -183,6 +183,6 @@ def resample_linear(spark, sf):
 def shape_table(spark, sf):
     """The whole assembler over every tick of every session: quality, base, shape, controls and coupling."""
     anchors, s = _anchored(spark, sf, None)
-    sensors = ["hr", "eda", "source_pain_covas_0_100"]
+    sensors = [*CHANNELS, "source_pain_covas_0_100"]
     return rounded(SH.shape_long(anchors, s, ["session_id"], sensors, 12.0, 1.0, "k").groupBy("feature").agg(
         F.count(F.lit(1)).alias("windows"), F.avg("value").alias("mean_value")))
