@@ -117,6 +117,7 @@ def minute_ceil(ts: Column | str) -> Column:
 
 # Path keys -----------------------------------------------------------------------------------
 
+# The archives' member paths.
 CLINICAL_SESSION = r"/?(P(\d+)_(\d+))/\1\.csv$"
 PATH_PATTERNS = {
     "heat": (r"S_(\d+)-synchronised-data\.csv$", ("subject",)),
