@@ -63,6 +63,28 @@ def moments(v: np.ndarray, t: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dic
     return {"n": n.astype(np.int64), "min": least, "max": most, **out}
 
 
+def merged_panes(n: np.ndarray, mean: np.ndarray, m2: np.ndarray, low: np.ndarray, high: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> dict[str, np.ndarray]:
+    """n, mean, m2, min and max over ranges of panes that are states already (of any counts, also 0)."""
+
+    def joined(a: tuple, b: tuple) -> tuple:
+        total = a[0] + b[0]
+        share = b[0] / np.maximum(total, 1.0)
+        d = b[1] - a[1]
+        return total, a[1] + d * share, a[2] + b[2] + d * d * a[0] * share, np.minimum(a[3], b[3]), np.maximum(a[4], b[4])
+
+    size_of = len(lo)
+    out = (np.zeros(size_of), np.zeros(size_of), np.zeros(size_of), np.full(size_of, np.inf), np.full(size_of, -np.inf))
+    pane = (n.astype(np.float64), mean, m2, low, high)
+    for size, some, at in _digits(lo, hi):
+        if size > 1:
+            half = size // 2
+            pane = joined(tuple(x[: len(x) - half] for x in pane), tuple(x[half:] for x in pane))
+        new = joined(tuple(x[some] for x in out), tuple(x[at] for x in pane))
+        for x, y in zip(out, new, strict=True):
+            x[some] = y
+    return dict(zip(("n", "mean", "m2", "min", "max"), out, strict=True))
+
+
 def _laid_out(lo: np.ndarray, hi: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
     """(ranges, owner within them, element) of the elements of all ranges, EXPANDED or so at a time."""
     ends, begin = np.cumsum(hi - lo), 0

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pulsegrid.functions import arrays as AR
 from pulsegrid.functions import kernels as KE
 from pulsegrid.functions import sweep
+from pulsegrid.operators.windows import whole_cells
 from pulsegrid.schema import COUPLING_PAIRS, SHAPE_SENSORS
 
 VARIANTS = ("shape", "shuffle", "reverse")
@@ -72,27 +73,8 @@ class _Signals:
     ROWS = 100_000
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < self.ROWS:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            cells = self._cells(table)
-            cut = int(cells[-1])  # the last block may go on
-            if cut:
-                yield from self._described(table.slice(0, cut), cells[:-1])
-            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        if rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from self._described(table, self._cells(table))
-
-    @staticmethod
-    def _cells(table: pa.Table) -> np.ndarray:
-        marks = [table.column(c).to_numpy() for c in ("__hash", "__b")]
-        return np.flatnonzero(np.concatenate(([True], np.any([m[1:] != m[:-1] for m in marks], axis=0))))
+        for table, cells in whole_cells(batches, ("__hash", "__b"), self.ROWS):
+            yield from self._described(table, cells)
 
     def _described(self, table: pa.Table, cells: np.ndarray) -> Iterator[pa.RecordBatch]:
         side, time = table.column("__side").to_numpy(), table.column("__t").to_numpy()

@@ -124,6 +124,31 @@ def sensor_channels(columns: Sequence[str]) -> dict[str, str]:
     return out
 
 
+def whole_cells(batches: Iterator[pa.RecordBatch], marks: Sequence[str], least: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows of whole cells, at least ``least`` but at the end; first row of each): cells are runs of rows with equal ``marks``."""
+
+    def firsts(table: pa.Table) -> np.ndarray:
+        columns = [table.column(c).to_numpy() for c in marks]
+        return np.flatnonzero(np.concatenate(([True], np.any([c[1:] != c[:-1] for c in columns], axis=0))))
+
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < least:
+            continue
+        table = pa.Table.from_batches(held).combine_chunks()
+        cells = firsts(table)
+        cut = int(cells[-1])  # the last cell may go on
+        if cut:
+            yield table.slice(0, cut), cells[:-1]
+        held, rows = table.slice(cut).to_batches(), table.num_rows - cut
+    if rows:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, firsts(table)
+
+
 @dataclass(frozen=True)
 class _Sweep:
     """Arrow kernel of one job: which columns a block has and what its windows give."""
@@ -141,28 +166,8 @@ class _Sweep:
     ROWS = 200_000
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        for batch in batches:
-            held.append(batch)
-            rows += batch.num_rows
-            if rows < self.ROWS:
-                continue
-            table = pa.Table.from_batches(held).combine_chunks()
-            cells = self._cells(table)
-            cut = int(cells[-1])  # the last cell may go on
-            if cut:
-                yield from self._swept(table.slice(0, cut), cells[:-1])
-            held, rows = table.slice(cut).to_batches(), table.num_rows - cut
-        if rows:
-            table = pa.Table.from_batches(held).combine_chunks()
-            yield from self._swept(table, self._cells(table))
-
-    @staticmethod
-    def _cells(table: pa.Table) -> np.ndarray:
-        """First row of each cell."""
-        marks = [table.column(c).to_numpy() for c in ("__hash", "block")]
-        return np.flatnonzero(np.concatenate(([True], np.any([m[1:] != m[:-1] for m in marks], axis=0))))
+        for table, cells in whole_cells(batches, ("__hash", "block"), self.ROWS):
+            yield from self._swept(table, cells)
 
     def _ticks(self, t: np.ndarray, table: pa.Table, cells: np.ndarray, length: float) -> tuple[np.ndarray, ...]:
         """(first row of the cell, start, end, first and end position) of the windows whose end lies in their cell's block."""
@@ -463,19 +468,45 @@ def pane_summary(
         .agg(F.count(F.lit(1)).alias("rows"), F.count(x).alias("n"), F.avg(x).alias("m"),
              F.var_pop(x).alias("v"), F.min(x).alias("lo"), F.max(x).alias("hi"))
     )
-    ticks = panes.withColumn(
-        "k", F.explode_outer(F.sequence(F.greatest(F.col("pane"), F.lit(0).cast("long")),
-                                  F.least(F.col("pane") + (per - 1), F.col("n_anchors") - 1)))
-    )
-    total = F.sum("n")
-    combined = ticks.groupBy(*keys, "first_anchor", "k").agg(
-        F.sum("rows").alias("source_rows"), total.alias("valid_count"), (F.sum(F.col("n") * F.col("m")) / total).alias("mean"),
-        F.min("lo").alias("min"), F.max("hi").alias("max"),
-        F.sum(F.col("n") * F.col("v")).alias("__within"),
-        F.collect_list(F.when(F.col("n") > 0, F.struct("n", "m"))).alias("__parts"),
-    )
-    between = F.aggregate("__parts", F.lit(0.0), lambda a, p: a + p["n"] * (p["m"] - F.col("mean")) * (p["m"] - F.col("mean")))
-    return combined.where(F.col("source_rows") >= spec.min_window_rows).select(
-        *keys, anchor_time(spec).alias("window_end_s"), "source_rows", "valid_count", "mean",
-        F.when(F.col("valid_count") > 0, F.sqrt((F.col("__within") + between) / F.col("valid_count"))).alias("std"), "min", "max",
-    )
+    # A block of anchors holds its own panes and those of one window before; panes are merged there, none is copied per tick.
+    size = 8 * per
+    block = lambda x: F.floor(x / F.lit(size)).cast("long")
+    pane_no = F.col("pane")
+    placed = panes.withColumn("__b", F.explode_outer(F.sequence(block(pane_no), block(pane_no + (per - 1))))).where("__b >= 0")
+    dealt = placed.repartition(*keys, "__b").sortWithinPartitions(*keys, "__b", "pane").withColumn("__hash", F.xxhash64(F.struct(*keys)))
+    double, long = T.DoubleType(), T.LongType()
+    kinds = {"first_anchor": double, "k": long, "source_rows": long, "valid_count": long, "mean": double, "std": double, "min": double, "max": double}
+    schema = T.StructType([*[T.StructField(c, dealt.schema[c].dataType) for c in keys], *[T.StructField(c, k) for c, k in kinds.items()]])
+    combined = dealt.mapInArrow(_Panes(tuple(keys), per, size, schema), schema)
+    return combined.where(F.col("source_rows") >= spec.min_window_rows).select(*keys, anchor_time(spec).alias("window_end_s"), "source_rows", "valid_count", "mean", "std", "min", "max")
+
+
+@dataclass(frozen=True)
+class _Panes:
+    """Arrow kernel: the panes of a block in order, to one row per anchor of the block whose window has rows."""
+
+    keys: tuple[str, ...]
+    per: int
+    size: int
+    fields: T.StructType
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, cells in whole_cells(batches, ("__hash", "__b"), 200_000):
+            pane, block, anchors = (table.column(c).to_numpy() for c in ("pane", "__b", "n_anchors"))
+            found = []
+            for begin, stop in zip(cells.tolist(), [*cells[1:].tolist(), len(pane)], strict=True):
+                k = np.arange(block[begin] * self.size, min((block[begin] + 1) * self.size, anchors[begin]))
+                found.append((np.full(len(k), begin), k, begin + np.searchsorted(pane[begin:stop], k - self.per, side="right"), begin + np.searchsorted(pane[begin:stop], k, side="right")))
+            cell, k, lo, hi = (np.concatenate(f).astype(np.int64) for f in zip(*found, strict=True))
+            full = hi > lo
+            cell, k, lo, hi = cell[full], k[full], lo[full], hi[full]
+            plain = lambda c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False).astype(np.float64)  # noqa: B023, E731
+            n = plain("n")
+            m = sweep.merged_panes(n, np.nan_to_num(plain("m")), np.nan_to_num(plain("v")) * n, np.where(n > 0, plain("lo"), np.inf), np.where(n > 0, plain("hi"), -np.inf), lo, hi)
+            some = m["n"] > 0
+            with np.errstate(invalid="ignore", divide="ignore"):
+                std = np.sqrt(m["m2"] / m["n"])
+            out = {"first_anchor": table.column("first_anchor").take(pa.array(cell)), "k": k, "source_rows": sweep.reduced(plain("rows"), lo, hi, np.add, 0.0).astype(np.int64), "valid_count": m["n"].astype(np.int64), "std": std}
+            out |= {c: np.where(some, m[c], np.nan) for c in ("mean", "min", "max")}
+            columns = [table.column(f.name).take(pa.array(cell)) if f.name in self.keys else out[f.name] if isinstance(out[f.name], pa.ChunkedArray) else pa.array(out[f.name], from_pandas=True) for f in self.fields]
+            yield from pa.Table.from_arrays(columns, [f.name for f in self.fields]).combine_chunks().to_batches(50_000)
