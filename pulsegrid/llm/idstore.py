@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 import unicodedata
@@ -119,9 +120,43 @@ class WordEncoder:
         return ids, np.diff(np.concatenate(([0], ends))[lists.offsets.to_numpy()])
 
 
+class TextEncoder:
+    """ids of texts by any tokenizer: every text is encoded whole."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [f.ids for f in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.fromiter((i for f in found for i in f), np.uint32), np.array([len(f) for f in found], np.int64)
+
+    def forget(self) -> None:
+        """Nothing is remembered."""
+
+
+#: Fixed value: the pre-tokenizer of the vocabulary whose words can be encoded one by one.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def by_words(settings: dict) -> bool:
+    """Do a tokenizer's settings say what ``WordEncoder`` takes for granted: NFC, blanks made equal, lower case, words by WORDS, and their ends marked?"""
+    normal = [(n["type"], n.get("pattern"), n.get("content")) for n in (settings.get("normalizer") or {}).get("normalizers", [])]
+    parts = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
+    model = settings["model"]
+    return (
+        normal == [("NFC", None, None), ("Replace", {"Regex": r"\s+"}, " "), ("Lowercase", None, None)]
+        and [p.get("type") for p in parts] == ["Split", "ByteLevel"] and parts[0]["pattern"] == {"Regex": WORDS} and parts[0]["behavior"] == "Removed" and parts[0]["invert"]
+        and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"] and model["type"] == "BPE" and model["end_of_word_suffix"] == "</w>" and not model["dropout"]
+    )
+
+
 @cache
-def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def encoder(path: str) -> WordEncoder | TextEncoder:
+    """The word by word encoder where the tokenizer's file allows it, else the plain one."""
+    with open(path, encoding="utf-8") as file:
+        return WordEncoder(path) if by_words(json.load(file)) else TextEncoder(path)
 
 
 # -- grammar
