@@ -15,13 +15,14 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid.operators.folds import with_folds
 from pulsegrid.operators.metrics import metric_table
-from pulsegrid.operators.scale import exact_quantiles
+from pulsegrid.operators.scale import exact_quantiles, null_safe_join
 from pulsegrid.operators.select import non_null_counts
+from pulsegrid.session import written
 
 LEARNERS = (
     "portable_logistic", "elastic_net", "gam_spline", "lda", "rbf_svm", "random_forest", "extra_trees", "gradient_boosting",
@@ -418,10 +419,77 @@ def within_subject_effect(long: DataFrame, groups: Sequence[str], subject: str =
     residual = F.greatest(F.col("syy") - F.col("sxy") * slope, F.lit(0.0))
     z = slope / F.sqrt(residual / dof / F.col("sxx"))
     ok = (F.col("rows") >= min_rows) & (F.col("sxx") > 1e-12) & (dof > 0) & (residual > 0)
-    # Two-sided normal tail by the complementary error function (Numerical approximation, |error| < 1.2e-7).
+    return total.select(*groups, "rows", F.when(ok, slope * sd).alias("beta"), F.when(ok, normal_p(z)).alias("p"))
+
+
+def normal_p(z: Column) -> Column:
+    """Two-sided normal tail by the complementary error function (Numerical approximation, |error| < 1.2e-7)."""
     t = 1.0 / (1.0 + 0.5 * F.abs(z) / 2 ** 0.5)
     poly = F.lit(0.17087277)
     for c in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
         poly = poly * t + c
-    p = t * F.exp(-z * z / 2.0 + poly)
-    return total.select(*groups, "rows", F.when(ok, slope * sd).alias("beta"), F.when(ok, F.least(F.lit(1.0), p)).alias("p"))
+    return F.least(F.lit(1.0), t * F.exp(-z * z / 2.0 + poly))
+
+
+#: Distinct values of one feature and subject in a packed row of the iterations.
+CHUNK_VALUES = 4096
+
+
+def subject_logit(
+    long: DataFrame, groups: Sequence[str], subject: str = "subject_id", min_rows: int = 40, max_iter: int = 25, tol: float = 1e-8
+) -> DataFrame:
+    """Logistic regression of a binary label on every standardised feature with one intercept per subject: beta and Wald p.
+
+    ``long`` holds ``feature``, ``value``, ``y`` and the subject; all features and groups are fitted together. The subject
+    block of the Hessian is diagonal, so a Newton step needs six sums per (feature, subject) and a correction of the slope
+    by them: no dummy columns, nothing but the number of open features on the driver. Equal values are counted once and
+    packed in chunks spread by value, so a hot subject is many rows of every step. Subjects of one class have their
+    intercept at infinity and take no part in the slope.
+
+    One row per group and feature. NULL beta and p: fewer than ``min_rows`` rows, one class, no spread, no subject with
+    both classes, or no convergence (the deviance still falls after ``max_iter`` steps: classes are separated).
+    """
+    names = [*groups, "feature"]
+    keys = [f"__g{i}" for i in range(len(names))]
+    finite = F.col("value").isNotNull() & ~F.isnan("value") & (F.abs("value") < float("inf"))
+    rows = long.where(finite & F.col("y").isNotNull() & F.col(subject).isNotNull()).select(
+        *[F.col(c).alias(k) for c, k in zip(names, keys)], F.col(subject).alias("__s"), F.col("value").cast("double").alias("__x"), F.col("y").cast("long").alias("__y"))
+    values = rows.groupBy(*keys, "__s", "__x").agg(F.count(F.lit(1)).alias("n"), F.sum("__y").alias("k"))
+    stats = rows.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), F.avg("__x").alias("__m"), F.stddev_samp("__x").alias("__sd"), F.min("__y").alias("__lo"), F.max("__y").alias("__hi"))
+    stats = written(stats.withColumn("__ok", (F.col("rows") >= min_rows) & (F.col("__lo") < F.col("__hi")) & (F.col("__sd") >= 1e-12)))
+    sizes = rows.groupBy(*keys, "__s").agg(F.count(F.lit(1)).alias("__n"), F.sum("__y").alias("__k")).where("__k > 0 and __k < __n")
+    used = null_safe_join(sizes, stats.where("__ok").select(*keys, "__m", "__sd"), keys, "inner")
+    chunk = F.pmod(F.xxhash64("__x"), F.ceil(F.col("__n") / CHUNK_VALUES))
+    scaled = null_safe_join(values, used, [*keys, "__s"], "inner").withColumn("x", (F.col("__x") - F.col("__m")) / F.col("__sd"))
+    chunks = written(scaled.groupBy(*keys, "__s", chunk.alias("__c")).agg(F.collect_list(F.struct("x", "n", "k")).alias("__v")))
+    state = written(used.select(
+        *keys, "__s", F.log(F.col("__k") / (F.col("__n") - F.col("__k"))).alias("a"), F.lit(0.0).alias("b"), F.lit(0.0).alias("dev"), F.lit(False).alias("done"),
+        F.lit(None).cast("double").alias("info")))
+    eta = F.col("a") + F.col("b") * F.col("x")
+    tail = F.log1p(F.exp(-F.abs(eta)))  # log(1 + e^-|eta|) does not overflow
+    p = F.when(eta >= 0, 1.0 / (1.0 + F.exp(-F.abs(eta)))).otherwise(1.0 - 1.0 / (1.0 + F.exp(-F.abs(eta))))
+    w, r = F.col("n") * F.col("p") * (1.0 - F.col("p")), F.col("k") - F.col("n") * F.col("p")
+    deviance = 2.0 * (F.col("k") * (tail + F.greatest(-eta, F.lit(0.0))) + (F.col("n") - F.col("k")) * (tail + F.greatest(eta, F.lit(0.0))))
+    for _ in range(max_iter):
+        opened = null_safe_join(chunks, state.where("not done").select(*keys, "__s", "a", "b"), [*keys, "__s"], "inner")
+        at = opened.select(*keys, "__s", "a", "b", F.inline("__v")).withColumns({"p": p, "d": deviance})
+        sums = at.groupBy(*keys, "__s").agg(
+            F.sum(r).alias("r"), F.sum(r * F.col("x")).alias("rx"), F.sum(w).alias("w"), F.sum(w * F.col("x")).alias("wx"), F.sum(w * F.col("x") * F.col("x")).alias("wxx"),
+            F.sum("d").alias("d"))
+        sums = sums.withColumn("w", F.greatest("w", F.lit(1e-300)))
+        steps = sums.groupBy(*keys).agg(
+            F.sum(F.col("wxx") - F.col("wx") * F.col("wx") / F.col("w")).alias("now_info"), F.sum(F.col("rx") - F.col("wx") * F.col("r") / F.col("w")).alias("g"), F.sum("d").alias("now_dev"))
+        moved = null_safe_join(null_safe_join(state, sums.select(*keys, "__s", "r", "w", "wx"), [*keys, "__s"]), steps, keys)
+        db = F.when(F.col("now_info") > 1e-12, F.col("g") / F.col("now_info")).otherwise(F.lit(0.0))
+        settled = F.abs(F.col("now_dev") - F.col("dev")) / (F.abs(F.col("now_dev")) + 0.1) < tol
+        state = written(moved.select(
+            *keys, "__s", F.when(F.col("done"), F.col("a")).otherwise(F.col("a") + (F.col("r") - F.col("wx") * db) / F.col("w")).alias("a"),
+            F.when(F.col("done"), F.col("b")).otherwise(F.col("b") + db).alias("b"), F.when(F.col("done"), F.col("dev")).otherwise(F.col("now_dev")).alias("dev"),
+            (F.col("done") | settled).alias("done"), F.when(F.col("done"), F.col("info")).otherwise(F.col("now_info")).alias("info")))
+        if not state.where("not done").take(1):
+            break
+    fits = state.groupBy(*keys).agg(F.min("b").alias("__b"), F.min("info").alias("__info"), F.every("done").alias("__done"))
+    ok = F.col("__done") & (F.col("__info") > 1e-12)
+    return null_safe_join(stats, fits, keys).select(
+        *[F.col(k).alias(c) for c, k in zip(names, keys)], "rows", F.when(ok, F.col("__b")).alias("beta"), F.when(ok, normal_p(F.col("__b") * F.sqrt("__info"))).alias("p"))

@@ -82,3 +82,28 @@ def glm_binomial(spark, sf):
 )
 def subject_fixed_effect(spark, sf):
     return rounded(ml.within_subject_effect(feature_long(spark, sf), ["dataset_id"]).drop("p"))
+
+
+def _newton_sql(steps: int) -> str:
+    """The same Newton steps as a chain of tables: all of them are taken, a settled fit does not move any more."""
+    out = f"""WITH {FEAT_SQL}, v AS MATERIALIZED (SELECT dataset_id, feature, subject_id, value, y FROM feat WHERE value IS NOT NULL),
+    st AS (SELECT dataset_id, feature, count(*) AS rows, avg(value) AS m, stddev_samp(value) AS sd, min(y) < max(y) AS two FROM v GROUP BY ALL),
+    su AS (SELECT dataset_id, feature, subject_id, sum(y) AS k, count(*) AS n FROM v GROUP BY ALL HAVING sum(y) BETWEEN 1 AND count(*) - 1),
+    z AS MATERIALIZED (SELECT dataset_id, feature, subject_id, (value - m) / sd AS x, y, k, n FROM v JOIN su USING (dataset_id, feature, subject_id) JOIN st USING (dataset_id, feature) WHERE rows >= 40 AND two AND sd >= 1e-12),
+    s0 AS MATERIALIZED (SELECT DISTINCT dataset_id, feature, subject_id, ln(k / (n - k)) AS a, 0.0::DOUBLE AS b, 0.0::DOUBLE AS info, 0.0::DOUBLE AS db FROM z)"""
+    for i in range(steps):
+        out += f""",
+    q{i} AS (SELECT dataset_id, feature, subject_id, x, y, a, b, 1 / (1 + exp(-(a + b * x))) AS p FROM z JOIN s{i} USING (dataset_id, feature, subject_id)),
+    u{i} AS MATERIALIZED (SELECT dataset_id, feature, subject_id, any_value(a) AS a, any_value(b) AS b, sum(y - p) AS r, sum((y - p) * x) AS rx, greatest(sum(p * (1 - p)), 1e-300) AS w, sum(p * (1 - p) * x) AS wx, sum(p * (1 - p) * x * x) AS wxx FROM q{i} GROUP BY ALL),
+    g{i} AS (SELECT dataset_id, feature, sum(wxx - wx * wx / w) AS info, sum(rx - wx * r / w) AS g FROM u{i} GROUP BY ALL),
+    h{i} AS (SELECT *, CASE WHEN info > 1e-12 THEN g / info ELSE 0 END AS db FROM g{i}),
+    s{i + 1} AS MATERIALIZED (SELECT dataset_id, feature, subject_id, a + (r - wx * db) / w AS a, b + db AS b, info, db FROM u{i} JOIN h{i} USING (dataset_id, feature))"""
+    return out + f""", fit AS (SELECT dataset_id, feature, any_value(b) AS b, any_value(info) AS info, any_value(db) AS db FROM s{steps} GROUP BY ALL)
+    SELECT dataset_id, feature, rows, CASE WHEN info > 1e-12 AND abs(db) < 1e-6 THEN round(b, 5) + 0.0 END AS beta FROM st LEFT JOIN fit USING (dataset_id, feature)"""
+
+
+@query("subject_logit", _newton_sql(25))
+def subject_logit(spark, sf):
+    """Subject-fixed-effect logistic slope of every feature and dataset; p is checked in the tests."""
+    fitted = ml.subject_logit(feature_long(spark, sf), ["dataset_id"])
+    return fitted.select("dataset_id", "feature", "rows", (F.round("beta", 5) + 0.0).alias("beta"))
