@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pulsegrid.operators.baseline import baseline_profiles
 from pulsegrid.plans.registry import query, table
 from pulsegrid.plans.views import rounded
-from pulsegrid.streaming import live
+from pulsegrid.streaming import live, ordered
 
 
 def event_stream(spark, sf):
@@ -76,6 +76,19 @@ def ewma_filter(spark, sf):
     return rounded(live.run_available(live.exponential_filter(event_stream(spark, sf), "user_id", "us", "event_id", "value", 0.3), "ewma"))
 
 
+@query(
+    "stream_ordered_signal",
+    f"""WITH {WM.format(shift='')}, d AS (SELECT user_id, event_id, value, epoch_us(ts) AS us, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w >= 43200000000, TRUE) AS n
+      FROM events WHERE epoch_us(ts) <= (SELECT wm FROM wm) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    r AS (SELECT *, sum(n::INT) OVER (PARTITION BY user_id ORDER BY us, event_id) AS run FROM d),
+    l AS (SELECT *, row_number() OVER w - 1 AS sample_index, us - min(us) OVER w AS since, list(value) OVER w AS v FROM r WINDOW w AS (PARTITION BY user_id, run ORDER BY us, event_id ROWS UNBOUNDED PRECEDING))
+    SELECT user_id, event_id, sample_index, round(since / 1e6, 6) AS offset_s, round(list_reduce(v, lambda a, x: 0.3 * x + 0.7 * a), 6) AS level FROM l""",
+)
+def stream_ordered_signal(spark, sf):
+    s = ordered.ordered_signal(event_stream(spark, sf), "user_id", "ts", "event_id", "value", 0.3, "1 hour", 12 * 3600)
+    return rounded(live.run_available(s, "ordered", ordered.STATE_STORE))
+
+
 def score_inputs(df):
     """Event rows shaped as one-sample windows: two sensors, presence flags and subject keys."""
     hr = F.when(F.col("event_type").isin("view", "click"), F.col("value"))

@@ -2,8 +2,9 @@
 
 Every function takes and returns a (streaming) DataFrame; the same code runs on a static frame. State
 is kept in the cluster's state store. That of windows, counts and runs ends with the watermark, and they
-return only what it has passed. The two per-session operators keep one small row per session for good, order rows
-within a micro-batch only, and hold a session's rows of one micro-batch in one task.
+return only what it has passed. The two per-session operators here keep one small row per session for good, order rows
+within a micro-batch only, and hold a session's rows of one micro-batch in one task; ``streaming.ordered`` orders by
+event time and lets idle sessions go.
 """
 
 from __future__ import annotations
@@ -90,13 +91,23 @@ def score_stream(windows: DataFrame, profiles: DataFrame) -> DataFrame:
     return ternary_score(attach_baseline(windows, profiles))
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Process everything available into a table in the shared folder and return that table."""
+def run_available(stream: DataFrame, name: str, settings: dict[str, str] | None = None) -> DataFrame:
+    """Process everything available into a table in the shared folder and return that table.
+
+    ``settings`` hold for this query alone: it copies the session's when it starts.
+    """
     spark: SparkSession = stream.sparkSession
     root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/data")
-        .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
-    )
-    query.awaitTermination()
+    before = {k: spark.conf.get(k, None) for k in settings or {}}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = (
+            stream.writeStream.format("parquet").outputMode("append").option("path", f"{root}/data")
+            .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     return spark.read.schema(stream.schema).parquet(f"{root}/data")
