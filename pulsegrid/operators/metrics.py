@@ -119,7 +119,6 @@ def correlation_pairs(wide: DataFrame, groups: Sequence[str], features: Sequence
         import pandas as pd
 
         state: dict = {}
-        keys: dict = {}
         for pdf in batches:
             parts = pdf.groupby(names, dropna=False, sort=False) if names else [((), pdf)]
             for key, part in parts:
@@ -128,12 +127,11 @@ def correlation_pairs(wide: DataFrame, groups: Sequence[str], features: Sequence
                 ok = np.isfinite(x)
                 v, k = np.where(ok, x, 0.0), ok.astype(float)
                 sums = np.stack([k.T @ k, v.T @ k, k.T @ v, (v * v).T @ k, k.T @ (v * v), v.T @ v])
-                tag = tuple(map(str, key))
+                tag = tuple(None if pd.isna(part) else part for part in key)
                 state[tag] = state.get(tag, 0.0) + sums
-                keys.setdefault(tag, key)
         i, j = np.triu_indices(m, 1)
         for tag, s in state.items():
-            out = pd.DataFrame({n: [val] * len(i) for n, val in zip(names, keys[tag])})
+            out = pd.DataFrame({n: pd.Series([val] * len(i), dtype=object) for n, val in zip(names, tag)}, index=range(len(i)))
             out["i"], out["j"] = i.astype("int32"), j.astype("int32")
             for c, mat in zip(("n", "sx", "sy", "sxx", "syy", "sxy"), s):
                 out[c] = mat[i, j]
@@ -152,6 +150,29 @@ def correlation_pairs(wide: DataFrame, groups: Sequence[str], features: Sequence
         F.col("n").cast("long").alias("n"), F.when((F.col("n") > 1) & (vx > 1e-12) & (vy > 1e-12), cov / F.sqrt(vx * vy)).alias("corr"))
 
 
+def top_redundancy(
+    wide: DataFrame, ranking: DataFrame, groups: Sequence[str], features: Sequence[str], k: int = 30, limit: float = 0.95
+) -> DataFrame:
+    """How many of each group's ``k`` best features repeat each other: ``top_features`` and ``redundant_pairs`` (|corr| >= ``limit``).
+
+    ``ranking`` has the groups, ``feature`` and ``oriented_auc`` (ties: by name; NULL is no rank); those of ``features`` count. Every row puts the
+    values of its group's own features into k slots, so the matrices have k columns however many features there are and
+    the wide rows are not shuffled by row. Correlations are pairwise complete; a constant feature repeats none. Groups with fewer than two ranked
+    features have no row.
+    """
+    groups, features = list(groups), list(features)
+    ranked = ranking.where(F.col("oriented_auc").isNotNull() & F.col("feature").isin(features)).select(*groups, "feature", "oriented_auc")
+    best = ranked.withColumn("__rk", F.row_number().over(Window.partitionBy(*groups).orderBy(F.col("oriented_auc").desc(), "feature"))).where(F.col("__rk") <= k)
+    picked = best.groupBy(*groups).agg(F.sort_array(F.collect_list(F.struct("__rk", "feature"))).alias("__top")).where(F.size("__top") >= 2)
+    names, values = F.array(*[F.lit(f) for f in features]), F.array(*[F.col(f).cast("double") for f in features])
+    rows = null_safe_join(wide.select(*groups, values.alias("__v")), picked, groups, "inner")
+    slots = [f"__s{i}" for i in range(min(k, len(features)))]
+    filled = rows.select(*groups, *[F.get("__v", F.array_position(names, F.get("__top.feature", i)).cast("int") - 1).alias(c) for i, c in enumerate(slots)])
+    pairs = correlation_pairs(filled, groups, slots).where(F.abs("corr") >= limit).groupBy(*groups).agg(F.count(F.lit(1)).alias("__pairs"))
+    return null_safe_join(picked, pairs, groups).select(
+        *groups, F.size("__top").cast("long").alias("top_features"), F.coalesce("__pairs", F.lit(0).cast("long")).alias("redundant_pairs"))
+
+
 def calibration_error(df: DataFrame, keys: Sequence[str], y: str = "y", p: str = "p", bins: int = 10) -> DataFrame:
     """Expected calibration error from equal-width probability bins."""
     b = F.least(F.floor(F.col(p) * bins), F.lit(bins - 1).cast("long"))

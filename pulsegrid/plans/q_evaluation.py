@@ -174,6 +174,19 @@ def corr_redundancy(spark, sf):
     return rounded(pairs.where(F.col("n") > 0).withColumn("redundant", F.abs("corr") >= 0.95))
 
 
+@query(
+    "top_redundancy",
+    f"""WITH {FEAT_AUC_SQL}, o AS (SELECT dataset_id, feature, round(greatest(auc, 1 - auc), 9) AS a FROM auc WHERE contains(feature, '__shape__') AND auc IS NOT NULL),
+    top AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY dataset_id ORDER BY a DESC, feature) <= 30), t AS (SELECT row_id, dataset_id, feature, value FROM feat JOIN top USING (dataset_id, feature) WHERE value IS NOT NULL),
+    c AS (SELECT a.dataset_id, a.feature AS fa, b.feature AS fb, corr(a.value, b.value) AS r FROM t a JOIN t b ON a.row_id = b.row_id AND a.feature < b.feature GROUP BY ALL),
+    red AS (SELECT dataset_id, count(*) AS n FROM c WHERE NOT isnan(r) AND abs(r) >= 0.95 GROUP BY ALL)
+    SELECT dataset_id, count(*) AS top_features, coalesce(any_value(n), 0) AS redundant_pairs FROM top LEFT JOIN red USING (dataset_id) GROUP BY ALL HAVING count(*) >= 2""",
+)
+def top_redundancy(spark, sf):
+    ranking = _ranking(spark, sf).withColumn("oriented_auc", F.round("oriented_auc", 9))
+    return M.top_redundancy(feature_wide(spark, sf), ranking, ["dataset_id"], CORR_NAMES)
+
+
 # Binary metrics ---------------------------------------------------------------------------------
 
 P_SQL = f"{EVAL_SQL}, pe AS (SELECT *, score / (score + 2000.0) AS p FROM ev)"
