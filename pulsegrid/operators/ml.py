@@ -316,17 +316,20 @@ def out_of_fold(df: DataFrame, features: Sequence[str], y: str, group: str, lear
 
 
 def leave_dataset_out(df: DataFrame, features: Sequence[str], y: str, learner: str, dataset: str = "dataset_id") -> DataFrame:
-    """Held-out predictions with the model trained on all other datasets; single-class splits are skipped."""
+    """Held-out predictions with the model trained on all other datasets; single-class splits are skipped.
+
+    Rows without a dataset are never held out and train every model.
+    """
     data = df.where(F.col(y).isNotNull())
     counts = {r[dataset]: (r["n"], r["p"]) for r in data.groupBy(dataset).agg(
         F.count(F.lit(1)).alias("n"), F.sum((F.col(y) == 1).cast("long")).alias("p")).collect()}
     rows, pos = sum(n for n, _ in counts.values()), sum(p for _, p in counts.values())
     parts = []
-    for held in sorted(counts):
+    for held in sorted(d for d in counts if d is not None):
         n, p = counts[held]
         if not (0 < p < n and 0 < pos - p < rows - n):
             continue
-        model = fit(learner, data.where(F.col(dataset) != held), features, y)
+        model = fit(learner, data.where(~F.col(dataset).eqNullSafe(held)), features, y)
         parts.append(model.transform(data.where(F.col(dataset) == held)).withColumn("split", F.lit(f"leave_dataset_out:{held}")))
     return reduce(DataFrame.unionByName, parts) if parts else data.withColumns({"p": F.lit(None).cast("double"), "split": F.lit("")})
 

@@ -126,3 +126,10 @@ def test_glm_query_fits_all_base_features(spark, monkeypatch, n):
         p = 1 / (1 + np.exp(-a @ beta))
         beta += np.linalg.solve(a.T @ (a * (p * (1 - p))[:, None]), a.T @ (y - p))
     assert list(got) == [*names, "(intercept)"] and list(got.values()) == pytest.approx(beta.tolist(), abs=1e-4)
+
+
+def test_rows_without_a_dataset_train_but_are_not_held_out(spark):
+    rows = [(d, float(i % 7), int(i % 7 + i % 3 > 4)) for d in ("a", "b", None) for i in range(42)]
+    df = spark.createDataFrame(rows, "dataset_id string, x double, y int")
+    got = ml.leave_dataset_out(df, ["x"], "y", "portable_logistic").groupBy("split").agg(F.count("p").alias("n")).collect()
+    assert {r["split"]: r["n"] for r in got} == {"leave_dataset_out:a": 42, "leave_dataset_out:b": 42}
