@@ -9,7 +9,8 @@ from tools.compare import TABLES, canon
 SF = "/root/testdata/sf0.001"
 NAMES = ("window_labels", "window_peaks", "asof_nearest", "asof_backward", "interval_join", "archetype_label", "label_family", "clean_numeric", "group_summary",
          "baseline_relative", "softmax_pref", "metric_auc", "metric_ap", "bh_fdr", "corr_redundancy", "group_kfold", "even_spaced_sample", "autocorr",
-         "spectral_features", "wavelet_energy", "cross_corr_lag", "resample_linear", "session_gap_split", "stream_gap_sessions", "ewma_filter")
+         "spectral_features", "wavelet_energy", "cross_corr_lag", "resample_linear", "session_gap_split", "stream_gap_sessions", "ewma_filter",
+         "stream_ordered_signal", "top_redundancy", "subject_logit")
 
 
 @pytest.fixture(scope="module")
