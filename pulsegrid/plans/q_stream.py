@@ -85,7 +85,7 @@ def ewma_filter(spark, sf):
     SELECT user_id, event_id, sample_index, round(since / 1e6, 6) AS offset_s, round(list_reduce(v, lambda a, x: x / 3.0 + a * (1.0 - 1.0::DOUBLE / 3.0)), 6) AS level FROM l""",
 )
 def stream_ordered_signal(spark, sf):
-    # A third, not 0.3: levels of short runs would be short decimals, whose exact halves the two engines round differently.
+    # A third, not 0.3: levels of short runs would be short decimals and often exact halves at the sixth place, where engines may round differently.
     s = ordered.ordered_signal(event_stream(spark, sf), "user_id", "ts", "event_id", "value", 1 / 3, "1 hour", 12 * 3600)
     return rounded(live.run_available(s, "ordered", ordered.STATE_STORE))
 
