@@ -95,3 +95,39 @@ def test_windows_equal_plain_loops(spark):
             pain = [x["pain_intensity"] for x in inside if x["pain_intensity"] is not None]
             assert r["target_pain_count"] == len(pain) and (not pain or r["target_pain_nrs_0_10"] == pytest.approx(np.mean(pain)))
     assert seen == len(got) > 300
+
+
+def test_memory_of_a_sweep_does_not_grow_with_its_blocks():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    from pulsegrid.operators.windows import SUMMARY_STATS, _Sweep
+
+    double, long = T.DoubleType(), T.LongType()
+    names = ["window_start_s", "window_end_s", "source_rows", "window_max_gap_s", "window_allowed_gap_s", "window_s", *[f"hr__{s}" for s in ("valid_count", *SUMMARY_STATS, "peak_count")]]
+    fields = T.StructType([T.StructField("session_id", long), *[T.StructField(c, long if c.endswith(("rows", "count")) else double) for c in names]])
+    kernel = _Sweep(WindowSpec(1.0, 12.0, True, 1, None), (12.0,), ("session_id",), (), (("hr", "hr"),), False, fields, True)
+
+    def swept(cells):
+        # Two samples at the ends of a block stand for nearly a hundred windows.
+        t = np.tile([0.0, 95.0], cells)
+        own = np.repeat(np.arange(cells), 2)
+        same = {c: np.full(2 * cells, x) for c, x in (("t_min", 0.0), ("t_max", 95.0))}
+        batch = pa.RecordBatch.from_pydict({"session_id": own, "block": np.zeros(2 * cells, np.int64), "__hash": own, "sample_offset_s": t, "hr": t, **same})
+        tracemalloc.start()
+        rows = sum(out.num_rows for out in kernel(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return rows, peak
+
+    (few, low), (many, high) = swept(400), swept(4000)
+    assert many == 10 * few and few >= 400
+    assert high < 2 * low
+
+
+def test_samples_that_lie_in_many_files_meet_in_their_block(spark, tmp_path):
+    samples(spark).repartition(7).write.parquet(str(tmp_path / "s"))  # small and written: the bounds are broadcast
+    read, spec = spark.read.parquet(str(tmp_path / "s")), WindowSpec(1.0, 20.0, False, 2, 8.0)
+    assert table(window_features(read, spec, all_blocks=False)) == table(window_features(samples(spark).coalesce(1), spec, all_blocks=False))
