@@ -2,7 +2,8 @@
 
 ``Window.partitionBy(key)`` and ``percentile`` put a whole group into one task. That is right for
 the usual many-small-groups case and wrong for a group with billions of rows. Every function here
-checks the largest group with one column-pruned count and, above the limit, splits the hot range
+checks the largest group with one column-pruned count. Above the limit, quantiles are selected inside brackets of a
+sketch; the others split the hot range
 into buckets of roughly equal size: bucket totals give each bucket its carry-in, and the ordering
 work is done per (group, bucket). Results are identical on both paths.
 """
@@ -105,42 +106,70 @@ def exact_quantiles(
 
     Output columns are ``{column}__qPPP`` (per mille). NULLs are ignored; an empty column gives NULL.
     """
-    keys = list(keys)
-    if not has_hot_group(df, keys, limit):
-        arr = F.array(*[F.lit(float(p)) for p in probs])
-        packed = df.groupBy(*keys).agg(*[F.percentile(F.col(c), arr).alias(c) for c in columns])
-        out = []
-        for c in columns:
-            out += [F.get(F.col(c), i).alias(n) for i, n in enumerate(quantile_names(c, probs))]
-        return packed.select(*keys, *out)
-    # Hot path: long form, ties collapsed before any ordering, exact ranks by two-level prefix sums.
-    long = df.select(
-        *keys, F.explode_outer(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("double").alias("v")) for c in columns])).alias("p")
-    ).select(*keys, F.col("p.f").alias("__f"), F.col("p.v").alias("__v")).where("__v is not null")
-    group = [*keys, "__f"]
-    values = long.groupBy(*group, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    ranked = prefix_sums(values, group, "__v", {"__before": "__n"}, limit=limit)
-    sizes = values.groupBy(*group).agg(F.sum("__n").alias("__total"))
-    ranked = null_safe_join(ranked, sizes, group)
-    aggs = []
-    for p, n in zip(probs, quantile_names("q", probs)):
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        for tag, rank in (("lo", F.floor(pos)), ("hi", F.ceil(pos))):
-            hit = (F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__n"))
-            aggs.append(F.max(F.when(hit, F.col("__v"))).alias(f"{n}_{tag}"))
-    picked = ranked.groupBy(*group).agg(F.max("__total").alias("__total"), *aggs)
-    solved = picked
-    for p, n in zip(probs, quantile_names("q", probs)):
-        pos = F.lit(float(p)) * (F.col("__total") - 1)
-        frac = pos - F.floor(pos)
-        solved = solved.withColumn(n, F.col(f"{n}_lo") + (F.col(f"{n}_hi") - F.col(f"{n}_lo")) * frac)
-    wide = solved.groupBy(*keys).agg(
-        *[
-            F.max(F.when(F.col("__f") == c, F.col(q))).alias(n)
-            for c in columns
-            for q, n in zip(quantile_names("q", probs), quantile_names(c, probs))
-        ]
-    )
-    if not keys:
-        return wide
-    return null_safe_join(df.select(*keys).distinct(), wide, keys)
+    keys, probs = list(keys), [float(p) for p in probs]
+    names = [n for c in columns for n in quantile_names(c, probs)]
+
+    def packed(rows: DataFrame) -> DataFrame:
+        arr = F.array(*[F.lit(p) for p in probs])
+        arrays = rows.groupBy(*keys).agg(*[F.percentile(F.col(c), arr).alias(c) for c in columns])
+        return arrays.select(*keys, *[F.get(F.col(c), i).alias(n) for c in columns for i, n in enumerate(quantile_names(c, probs))])
+
+    above = F.col("__rows") > (limit or hot_group_rows(df.sparkSession))
+    counts = pinned(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")))
+    hot = counts.where(above).select(*keys, F.lit(1).alias("__hot"))
+    if not hot.take(1):
+        return packed(df)
+    if not counts.where(~above).take(1):
+        return _selected(df, hot, keys, columns, probs).select(*keys, *names)
+    chosen = _selected(null_safe_join(df, hot, keys, "left_semi"), hot, keys, columns, probs).select(*keys, *names)
+    return packed(null_safe_join(df, hot, keys, "left_anti")).unionByName(chosen)
+
+
+#: Entries of the quantile sketch of a hot group, and the shares of its rows on either side of a quantile that are looked at
+#: exactly. The next one serves only if the sketch was off by more; the last one takes all rows.
+SKETCH, MARGINS = 10_000, (2e-4, 1e-2, 1.0)
+
+
+def _selected(df: DataFrame, groups: DataFrame, keys: Sequence[str], columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """Exact quantiles of the large ``groups`` by selection: a sketch brackets each one, rows outside of the brackets are counted and only
+    those inside are put in order. No step moves more of the rows than the brackets hold."""
+    values = df.select(*keys, *[F.col(c).cast("double").alias(f"__v{j}") for j, c in enumerate(columns)])
+    cells = [(j, i) for j in range(len(columns)) for i in range(len(probs))]
+    picked = None
+    for margin in MARGINS:
+        sketches = [F.count(f"__v{j}").alias(f"__n{j}") for j in range(len(columns))]
+        if margin < 1:
+            ends = F.array(*[F.lit(min(1.0, max(0.0, p + side * margin))) for p in probs for side in (-1, 1)])
+            sketches += [F.percentile_approx(f"__v{j}", ends, SKETCH).alias(f"__e{j}") for j in range(len(columns))]
+        else:  # NaN is above all other numbers
+            whole = F.array(*[F.lit(float(x)) for _ in probs for x in ("-inf", "nan")])
+            sketches += [F.first(whole).alias(f"__e{j}") for j in range(len(columns))]
+        brackets = pinned(values.groupBy(*keys).agg(*sketches))
+        near = null_safe_join(values, F.broadcast(brackets), keys, "inner")
+        parts = []
+        for j in range(len(columns)):
+            v = F.col(f"__v{j}")
+            ends = [(F.get(f"__e{j}", 2 * i), F.get(f"__e{j}", 2 * i + 1)) for i in range(len(probs))]
+            # Grows with the value; rows of one region are all inside of a bracket or all outside.
+            region, inside = F.lit(0), F.lit(False)
+            for low, high in ends:
+                region, inside = region + (v >= low).cast("int") + (v > high).cast("int"), inside | ((v >= low) & (v <= high))
+            rows = near.where(v.isNotNull()).select(*keys, F.lit(j).alias("j"), region.alias("region"), inside.alias("inside"), F.when(inside, v).alias("v"))
+            parts.append(rows.groupBy(*keys, "j", "region", "inside", "v").agg(F.count(F.lit(1)).alias("__c")))
+        ties = parts[0]
+        for more in parts[1:]:
+            ties = ties.unionByName(more)
+        flat = F.array(*[F.struct(F.lit(j).alias("j"), F.lit(i).alias("i"), F.lit(probs[i]).alias("p"), F.col(f"__n{j}").alias("n")) for j, i in cells])
+        asked = brackets.select(*keys, F.explode_outer(flat).alias("a")).select(*keys, "a.*").where("n > 0")
+        asked = asked.withColumn("__pos", F.col("p") * (F.col("n") - 1))
+        before = F.sum("__c").over(Window.partitionBy(*keys, "j").orderBy("region", "v").rowsBetween(Window.unboundedPreceding, -1))
+        ranked = null_safe_join(ties.withColumn("__before", F.coalesce(before, F.lit(0))), F.broadcast(asked), [*keys, "j"], "inner")
+        at = lambda rank: F.max(F.when((F.col("__before") <= rank) & (rank < F.col("__before") + F.col("__c")), F.col("v")))
+        found = ranked.groupBy(*keys, "j", "i", "__pos").agg(at(F.floor("__pos")).alias("lo"), at(F.ceil("__pos")).alias("hi")).drop("__pos")
+        picked = pinned(null_safe_join(asked, found, [*keys, "j", "i"], "left"))
+        if not picked.where("lo is null or hi is null").take(1):
+            break
+    value = F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("__pos") - F.floor("__pos")))
+    wide = picked.withColumn("__q", value).groupBy(*keys).agg(
+        *[F.max(F.when((F.col("j") == j) & (F.col("i") == i), F.col("__q"))).alias(quantile_names(columns[j], probs)[i]) for j, i in cells])
+    return null_safe_join(groups, wide, keys) if keys else wide

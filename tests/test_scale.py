@@ -61,3 +61,20 @@ def test_correlation_pairs(spark):
         part = pdf[pdf["g"] == r.g]
         assert abs(r.corr - part[r.feature_a].corr(part[r.feature_b])) < 1e-9
     assert M.calibration_error(spark.createDataFrame(pdf.assign(y=1, p=0.5)), ["g"]).agg(F.max("ece")).first()[0] == 0.5
+
+
+def test_hot_quantiles_order_only_rows_near_them(spark, hot, monkeypatch):
+    from pulsegrid.operators import scale
+
+    pdf = pd.DataFrame({"g": (["hot"] * 3000 + [None] * 2000 + ["few"] * 9), "x": RNG.normal(size=5009) * 1e3, "y": np.where(RNG.random(5009) < 0.5, 7.0, np.inf)})
+    pdf.loc[pdf["g"].isna(), "y"] = None
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, x double, y double").repartition(5).cache()
+    for margins in (scale.MARGINS, (0.0, 1.0), (1.0,)):  # also when a sketch's bracket is missed
+        monkeypatch.setattr(scale, "MARGINS", margins)
+        got = exact_quantiles(df, ["g"], ["x", "y"], (0.0, 0.25, 0.5, 1.0)).toPandas().set_index("g")
+        assert len(got) == 3
+        for g, part in pdf.groupby(pdf["g"].fillna("-")):
+            row = got.loc[g] if g != "-" else got[got.index.isna()].iloc[0]
+            for p, n in ((0.0, "q000"), (0.25, "q250"), (0.5, "q500"), (1.0, "q1000")):
+                assert abs(row[f"x__{n}"] - part["x"].quantile(p)) < 1e-9
+            assert (g == "-") == bool(np.isnan(row["y__q000"])) and (g == "-" or row["y__q1000"] == np.inf)
