@@ -40,3 +40,27 @@ def test_signals_equal_plain_interpolation(spark, monkeypatch, blocks):
             else:
                 assert g["grid"] is None
     assert seen > 150 and shape.window_signals(marks.limit(0), stream, ["session"], ["x"], 8.0, 2.0, "n").count() == 0
+
+
+def test_summary_equals_the_long_table_and_signals_the_column_features(spark):
+    from pyspark.sql import functions as F
+
+    from pulsegrid.functions import arrays
+
+    r = random.Random(4)
+    rows = [("s", i * 0.5, i, r.choice([None, r.gauss(0, 5)]), 3.0 if i < 90 else float(i % 7)) for i in range(200)]
+    stream = spark.createDataFrame(rows, "session string, sample_offset_s double, sample_index long, hr double, eda double")
+    marks = spark.createDataFrame([("s", n, 10.0 + n) for n in range(80)], "session string, n long, window_end_s double")
+    args = (marks, stream, ["session"], ["hr", "eda"], 12.0, 1.0, "n")
+    want = shape.shape_long(*args).groupBy("feature").agg(F.count("*").alias("windows"), F.avg("value").alias("mean_value")).collect()
+    got = {g["feature"]: g for g in shape.shape_summary(*args).collect()}
+    assert len(got) == len(want) > 100
+    for w in want:
+        assert got[w["feature"]]["windows"] == w["windows"] and got[w["feature"]]["mean_value"] == pytest.approx(w["mean_value"], rel=1e-9, abs=1e-12)
+    grids = shape.window_signals(*args).where("grid IS NOT NULL").select("n", "sensor", "grid")
+    plain = {(g["n"], g["sensor"]): g for g in arrays.shape_features(grids, "grid", 1.0).drop("__z").collect()}
+    described = shape.describe_signals(grids, "grid", 1.0).collect()
+    assert len(described) == len(plain) > 100
+    for g in described:
+        for c, x in plain[g["n"], g["sensor"]].asDict().items():
+            assert g[c] == x or g[c] == pytest.approx(x, rel=1e-9, abs=1e-9), c
