@@ -1,5 +1,7 @@
 """Range statistics from pane states against plain loops, and windows of several lengths against single ones."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,3 +133,20 @@ def test_samples_that_lie_in_many_files_meet_in_their_block(spark, tmp_path):
     samples(spark).repartition(7).write.parquet(str(tmp_path / "s"))  # small and written: the bounds are broadcast
     read, spec = spark.read.parquet(str(tmp_path / "s")), WindowSpec(1.0, 20.0, False, 2, 8.0)
     assert table(window_features(read, spec, all_blocks=False)) == table(window_features(samples(spark).coalesce(1), spec, all_blocks=False))
+
+
+def test_a_sweep_reads_only_what_the_wanted_columns_need(spark):
+    s, spec = samples(spark), WindowSpec(2.0, 20.0, False, 2, 8.0, blocks_of_windows=2)
+    whole = window_features(s, spec)
+    for names, unread in (
+        (["session_id", "window_end_s", "condition"], ("hr", "ibi", "pain_intensity", "subject_id")),
+        (["window_end_s", "source_rows", "hr__mean", "hr__valid_frac", "grip__present"], ("ibi", "pain_intensity", "condition")),
+        (["window_end_s", "ibi__rmssd_ms", "ibi__peak_count", "target_pain_coverage"], ("hr", "condition")),
+    ):
+        some = window_features(s, spec, columns=names)
+        assert some.columns == names and table(some) == table(whole.select(*names)) and some.count() > 300
+        plan = some._jdf.queryExecution().optimizedPlan().toString()
+        read = plan[plan.index("MapInArrow") :].splitlines()[1]  # the columns that go to Python
+        assert "__hash" in read and not [c for c in unread if re.search(rf"\b{c}#", read)]
+    both = multiscale(s, spec, (5.0, 20.0), columns=["window_s", "window_end_s", "hr__mean"])
+    assert table(both) == table(multiscale(s, spec, (5.0, 20.0)).select("window_s", "window_end_s", "hr__mean"))
