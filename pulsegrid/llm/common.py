@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pulsegrid.session import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a two-number side table is hinted for broadcast (about 30 MB); larger ones are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Bytes of an Arrow batch. Spark's 10,000 rows of texts are some 30 MB and more, which the JVM lays out in buffers that double and Python holds again.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +42,12 @@ def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
 
 
+def mapped(df: DataFrame, kernel: Callable, schema: T.StructType) -> DataFrame:
+    """``df`` through an Arrow kernel in batches of about BATCH_BYTES (a longer row is a batch of its own)."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df.mapInArrow(kernel, schema)
+
+
 #: Paths made inside the open scopes, the innermost last.
 _SCOPES: list[list[str]] = []
 

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import scratch_path, whole
+from pulsegrid.llm.common import mapped, scratch_path, whole
 
 #: Ids of a shard (it ends with a document), rounds of replacement, pairs replaced at once, and how often a pair must stand to be one.
 SHARD_IDS, ROUNDS, PAIRS, LEAST = 1 << 20, 3, 4096, 16
@@ -327,7 +327,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = base.repartitionByRange(parts, "id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     schema = T.StructType([T.StructField(c, T.LongType()) for c in ("part", "shard", "n_ids")] + [T.StructField("doc_ids", T.ArrayType(id_type)), T.StructField("payload", T.BinaryType())])
-    ordered.mapInArrow(pack_rows, schema).write.parquet(path)
+    mapped(ordered, pack_rows, schema).write.parquet(path)
 
 
 def read_ids(spark: SparkSession, path: str, id_type: T.DataType, with_ids: bool = False) -> DataFrame:
@@ -353,7 +353,7 @@ def read_ids(spark: SparkSession, path: str, id_type: T.DataType, with_ids: bool
     fields = [T.StructField("doc_id", id_type), *[T.StructField(c, T.LongType()) for c in ("part", "shard", "at", "n_tokens", "ids_crc32")]]
     if with_ids:
         fields.append(T.StructField("ids", T.ArrayType(T.LongType())))
-    docs = shards.select("part", "shard", "doc_ids", "payload").mapInArrow(decode, T.StructType(fields))
+    docs = mapped(shards.select("part", "shard", "doc_ids", "payload"), decode, T.StructType(fields))
     # Running sums in two steps: over the parts, and over the shards of each.
     sizes = shards.select("part", "shard", "n_ids")
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import stored, text_keys, whole
+from pulsegrid.llm.common import mapped, stored, text_keys, whole
 from pulsegrid.llm.tokens import gram_hashes, lower_ascii, mix64, span_hashes, text_parts, within, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     base = docs.select(F.col(id_col).alias("id"), whole(text_col).alias("text"), k.alias("k"))
     id_field = T.StructField("id", base.schema["id"].dataType)
     longs = lambda *names: [T.StructField(c, T.LongType()) for c in names]
-    rows = stored(base.mapInArrow(_signatures, T.StructType([id_field, *longs("k", "n", "d1", "d2"), T.StructField("mh", T.ArrayType(T.IntegerType()))])))
+    rows = stored(mapped(base, _signatures, T.StructType([id_field, *longs("k", "n", "d1", "d2"), T.StructField("mh", T.ArrayType(T.IntegerType()))])))
     sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "k")).alias("keeper"), F.min("id").alias("least"), F.max("n").alias("n"), F.first("mh").alias("mh"))
     sets = stored(sets)
 
@@ -282,7 +282,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     known = sets.select("d1", "d2", "copies", "keeper", "mh").join(paths, ["d1", "d2"])
     grouped = _blocks(leaves).join(known, ["d1", "d2"])
     grouped = grouped.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    compared = stored(grouped.mapInArrow(_compared, grouped.schema))
+    compared = stored(mapped(grouped, _compared, grouped.schema))
 
     wanted = compared.select("d1", "d2", F.col("keeper.id").alias("__id"), F.col("keeper.k").alias("__k")).distinct()
     texts = base.join(wanted, _same(F.col("id"), F.col("__id")) & (F.col("k") == F.col("__k"))).select("d1", "d2", "text")
@@ -294,10 +294,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
                 part = batch.slice(first, end - first)
                 yield pa.RecordBatch.from_arrays([part.column("d1"), part.column("d2"), pa.array(found, pa.list_(pa.int64()))], ["d1", "d2", "shingles"])
 
-    tokens = texts.mapInArrow(shingles, T.StructType([*longs("d1", "d2"), T.StructField("shingles", T.ArrayType(T.LongType()))]))
+    tokens = mapped(texts, shingles, T.StructType([*longs("d1", "d2"), T.StructField("shingles", T.ArrayType(T.LongType()))]))
     tokens = tokens.dropDuplicates(["d1", "d2"])  # rows that repeat
     exact = compared.drop("keeper").join(tokens, ["d1", "d2"]).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    linked = stored(exact.mapInArrow(_linked(threshold), T.StructType(longs("d1", "d2", "links", "r1", "r2"))))
+    linked = stored(mapped(exact, _linked(threshold), T.StructType(longs("d1", "d2", "links", "r1", "r2"))))
 
     node, root = F.struct("d1", "d2"), F.struct(F.col("r1").alias("d1"), F.col("r2").alias("d2"))
     roots = components(linked.select(node.alias("u"), root.alias("v")))

@@ -7,11 +7,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import VectorAssembler, VectorSizeHint
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pulsegrid.llm.common import mapped
 from pulsegrid.llm.tokens import SPACE, gram_hashes, mix64, rows_of, span_hashes, text_parts, within, word_spans
 
 #: Hash buckets for words, word pairs and byte trigrams (in this order); the model is one number for each.
@@ -80,7 +82,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, id_col: st
     some = some.withColumn("h", F.xxhash64(F.lit(5), "__id")).orderBy("h", "__id", "label").limit(rows)
     found = docs.where(F.col(text_col).isNotNull()).join(F.broadcast(some), F.col(id_col) == F.col("__id")).select("label", (F.pmod("h", F.lit(5)) == 0).cast("int").alias("fold"), F.col(text_col).alias("text"))
     schema = T.StructType([T.StructField("label", T.DoubleType()), T.StructField("fold", T.IntegerType()), T.StructField("features", T.ArrayType(T.DoubleType()))])
-    table = found.repartition(12).mapInArrow(_frequencies, schema).select("label", "fold", array_to_vector("features").alias("features")).persist()
+    dense = mapped(found.repartition(12), _frequencies, schema).select("label", "fold", array_to_vector("features").alias("dense"))
+    # Most buckets of a text are empty; the assembler makes sparse vectors of such, so that the fit's copies of the table are small.
+    # Told the size, it doesn't read a first row for it.
+    dense = VectorSizeHint(inputCol="dense", size=FAMILIES * BUCKETS, handleInvalid="optimistic").transform(dense)
+    table = VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense).drop("dense").persist()
     classes = {(r["label"], r["fold"]) for r in table.select("label", "fold").distinct().collect()}  # four at most
     if len({c for c, f in classes if f == 0}) < 2:
         table.unpersist()
@@ -162,7 +168,7 @@ def quality(docs: DataFrame, model: QualityModel | None, keep_from: float = KEEP
                 yield pa.RecordBatch.from_arrays([*rows.columns, *added], [*rows.schema.names, *names])
 
     kinds = [T.LongType()] * len(STATISTICS) + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
-    return docs.mapInArrow(score, T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))
+    return mapped(docs, score, T.StructType([*docs.schema.fields, *[T.StructField(n, k) for n, k in zip(names, kinds, strict=True)]]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
