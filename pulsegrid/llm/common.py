@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,7 +46,12 @@ def bounded(side: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def mapped(df: DataFrame, kernel: Callable, schema: T.StructType) -> DataFrame:
     """``df`` through an Arrow kernel in batches of about BATCH_BYTES (a longer row is a batch of its own)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(kernel, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()  # the worker is used again; what its pool keeps is gone for the executor
+
+    return df.mapInArrow(run, schema)
 
 
 #: Paths made inside the open scopes, the innermost last.

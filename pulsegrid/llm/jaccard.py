@@ -1,4 +1,4 @@
-"""N-gram Jaccard self-join by chosen paths: split on sampled shared tokens, brute-force what is left together, repeat."""
+"""N-gram Jaccard self-join by chosen paths: split on sampled shared tokens, brute-force what is left together, repeat. Dense groups stand once, around a pivot."""
 
 from __future__ import annotations
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsegrid.llm.common import mapped, stored, text_keys, whole
+from pulsegrid.llm.common import bounded, mapped, stored, text_keys, whole
 from pulsegrid.llm.tokens import gram_hashes, lower_ascii, mix64, span_hashes, text_parts, within, word_spans
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -25,6 +25,14 @@ BLOCK_TOKENS = 2 << 20
 RECALL = 0.9999
 #: A pair at the threshold has fewer equal coordinates than this with probability below 1e-6; such pairs are not compared exactly.
 MIN_EQUAL = 34
+#: Sets of a large root bucket that are looked at for pivots, and how many of them must be close to one.
+SAMPLE, DENSE = 256, 16
+#: Pivots a bucket may hold; the others are given up, and their sets stay in the buckets.
+CROWD = 16
+#: Root buckets of pivots up to which these are hinted for broadcast (about 30 MB).
+BROADCAST_PIVOTS = 100_000
+#: Parts that a set has around a pivot: linked for certain with the rest of the core; to be compared with all; compared with those two only.
+CORE, OPEN, SHELL = 0, 1, 2
 
 
 def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, splits: int = SPLITS) -> int:
@@ -33,6 +41,11 @@ def runs_for(recall: float = RECALL, threshold: float = THRESHOLD, splits: int =
     return math.ceil(math.log(1 - recall) / math.log(1 - threshold * level**splits))
 
 
+def reach_for(runs: int, recall: float = RECALL, threshold: float = THRESHOLD) -> int:
+    """Coordinates in which a set may differ from its pivot, so that what is linked with it shares a root bucket with the pivot with probability ``recall``."""
+    return math.floor(COORDINATES * ((1 - recall) ** (1 / runs) - (1 - threshold)))
+
+
 _SEEDS = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
 
 
@@ -77,54 +90,190 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([rows.column("id"), rows.column("k"), pa.array(sizes), pa.array(digests[0].astype(np.int64)), pa.array(digests[1].astype(np.int64)), lists], ["id", "k", "n", "d1", "d2", "mh"])
 
 
-def _leaves(sets: DataFrame, runs: int) -> DataFrame:
-    """(path, d1, d2, size, tokens): the buckets in which sets are compared. One of those with the same members stays.
+_MEMBERS = "bit_xor(xxhash64(d1, d2))", "bit_xor(xxhash64(d2, d1, 1))"
+
+
+def _sized(nodes: DataFrame, last: bool = False) -> DataFrame:
+    """Buckets of more than one set, with their size. One of those with the same members stays.
 
     That holds for leaves only: a bucket still to be split draws its own coordinates, so each run's path of it goes on.
     """
-    members = F.bit_xor(F.xxhash64("d1", "d2")), F.bit_xor(F.xxhash64("d2", "d1", F.lit(1)))
+    sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), *(F.expr(m).alias(c) for m, c in zip(_MEMBERS, "ab", strict=True))).where("size > 1")
+    going_on = F.when((F.col("size") > SPLIT_OVER) & F.lit(not last), F.col("path"))
+    return nodes.join(sizes.groupBy("size", "a", "b", going_on.alias("own")).agg(F.min("path").alias("path")).select("path", "size"), "path")
+
 
-    def sized(nodes: DataFrame, last: bool = False) -> DataFrame:
-        sizes = nodes.groupBy("path").agg(F.count("*").alias("size"), members[0].alias("a"), members[1].alias("b")).where("size > 1")
-        going_on = F.when((F.col("size") > SPLIT_OVER) & F.lit(not last), F.col("path"))
-        return nodes.join(sizes.groupBy("size", "a", "b", going_on.alias("own")).agg(F.min("path").alias("path")).select("path", "size"), "path")
+def _paths(sets: DataFrame, runs: int, *columns: str) -> DataFrame:
+    """(path, ...): the bucket of each run's first token."""
+    return sets.select(*columns, F.posexplode_outer(F.slice("mh", 1, runs)).alias("run", "token")).select(F.xxhash64("run", "token").alias("path"), *columns)
 
-    root = sets.select("d1", "d2", "n", F.posexplode_outer(F.slice("mh", 1, runs)).alias("run", "token"))
-    nodes = stored(sized(root.select(F.xxhash64("run", "token").alias("path"), "d1", "d2", "n")))
+
+def _leaves(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(path, d1, d2, size, tokens): the buckets in which sets are compared, from the root buckets ``nodes``."""
     done = [nodes.where(F.col("size") <= SPLIT_OVER)]
     for depth in range(SPLITS):
         large = nodes.where(F.col("size") > SPLIT_OVER).select("path", "d1", "d2", "n").join(sets.select("d1", "d2", "mh"), ["d1", "d2"])
         pick = lambda i: F.pmod(F.xxhash64("path", F.lit(i)), F.lit(COORDINATES)).cast("int")
         chosen = F.when(F.pmod(F.xxhash64("path", F.lit(2)), F.lit(4)) == 0, F.array(pick(0), pick(1))).otherwise(F.array(pick(0)))
         split = large.withColumn("at", F.explode(F.array_distinct(chosen))).select(F.xxhash64("path", "at", F.get("mh", F.col("at"))).alias("path"), "d1", "d2", "n")
-        nodes = stored(sized(split, last=depth == SPLITS - 1))
+        nodes = stored(_sized(split, last=depth == SPLITS - 1))
         done.append(nodes if depth == SPLITS - 1 else nodes.where(F.col("size") <= SPLIT_OVER))
     every = done[0].unionByName(done[1])
     for more in done[2:]:
         every = every.unionByName(more)
-    groups = every.groupBy("path").agg(F.first("size").alias("size"), F.sum("n").alias("tokens"), members[0].alias("a"), members[1].alias("b"))
+    groups = every.groupBy("path").agg(F.first("size").alias("size"), F.sum("n").alias("tokens"), *(F.expr(m).alias(c) for m, c in zip(_MEMBERS, "ab", strict=True)))
     return stored(every.drop("n").join(groups.groupBy("size", "tokens", "a", "b").agg(F.min("path").alias("path")).select("path", "tokens"), "path"))
 
 
+def _equal(signature: np.ndarray) -> np.ndarray:
+    """Coordinates that each two rows have equal."""
+    equal = np.zeros((len(signature), len(signature)), np.int16)
+    for c in range(COORDINATES):
+        equal += signature[:, c, None] == signature[None, :, c]
+    return equal
+
+
+def _centres(reach: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Pivots of each bucket's sample: the most frequent coordinates of the sets within ``reach`` of one, while it has DENSE of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches, ("path",)):
+            signature = _fixed(group.column("mh"), np.int32)
+            near = _equal(signature) >= COORDINATES - reach
+            left, chosen = np.ones(len(near), bool), []
+            while (support := (near & left).sum(axis=1) * left).max() >= DENSE:
+                close = near[support.argmax()] & left
+                left &= ~close
+                values = [np.unique(column, return_counts=True) for column in signature[close].T]
+                chosen.append([v[c.argmax()] for v, c in values])
+            if chosen:
+                yield pa.RecordBatch.from_arrays([pa.array([list(map(int, c)) for c in chosen], pa.list_(pa.int32()))], ["mh"])
+
+    return run
+
+
+def _same_coordinates(a: str, b: str) -> Column:
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same))
+
+
+def _uncrowded(at: DataFrame, most: int) -> DataFrame:
+    """Without the pivots that are beyond the first ``most`` of a bucket."""
+    rank = F.row_number().over(Window.partitionBy("path").orderBy("ball"))
+    return at.join(at.withColumn("rank", rank).where(F.col("rank") > most).select("ball").distinct(), "ball", "left_anti")
+
+
+def _balls(sets: DataFrame, nodes: DataFrame, runs: int, reach: int) -> DataFrame | None:
+    """Sets with ``ball`` and ``owned``: members of the balls around pivots of dense groups.
+
+    A ball owns the sets that differ from its pivot in at most ``reach`` coordinates (the lowest ball, if several do). What has
+    MIN_EQUAL coordinates in common with an owned set differs from the pivot in so many more at most, so all that
+    can link with an owned set is a member, unless a lower ball owns it. A pair belongs to the lower of its owners.
+    """
+    if reach < 0:
+        return None
+    large = nodes.where(F.col("size") > SPLIT_OVER).where(F.pmod(F.xxhash64("d2", "d1"), F.ceil(F.col("size") / SAMPLE).cast("bigint")) == 0)
+    mh = sets.select("d1", "d2", "mh")
+    sampled = large.select("path", "d1", "d2").join(mh, ["d1", "d2"]).repartition("path").sortWithinPartitions("path", "d1", "d2")
+    centres = mapped(sampled, _centres(reach), T.StructType([T.StructField("mh", T.ArrayType(T.IntegerType()))]))
+    centres = stored(centres.select(F.xxhash64("mh").alias("ball"), "mh").dropDuplicates(["ball"]))
+    if centres.isEmpty():
+        return None
+    at = _uncrowded(_paths(centres, runs, "ball"), 4 * CROWD)
+    two = at.join(at.select("path", F.col("ball").alias("low")), "path").where("low < ball").select("low", "ball").distinct()
+    two = two.join(centres, "ball").join(centres.select(F.col("ball").alias("low"), F.col("mh").alias("low_mh")), "low")
+    again = two.where(_same_coordinates("mh", "low_mh") >= COORDINATES - reach // 2).select("ball").distinct()
+    at = stored(_uncrowded(at.join(again, "ball", "left_anti"), CROWD).join(centres.withColumnRenamed("mh", "middle"), "ball"))
+    equal = _same_coordinates("mh", "middle").alias("equal")
+    near = _paths(sets, runs, *sets.columns).join(bounded(at, BROADCAST_PIVOTS), "path").select("ball", *sets.columns, equal).where(F.col("equal") >= MIN_EQUAL - reach).distinct()
+    own = F.when(F.col("equal") >= COORDINATES - reach, F.col("ball"))
+    members = near.withColumn("owner", F.min(own).over(Window.partitionBy("d1", "d2"))).where("owner is null or owner >= ball")
+    return stored(members.select("ball", *sets.columns, F.col("owner").eqNullSafe(F.col("ball")).alias("owned")))
+
+
+def _measured(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sets of each group that are at ``threshold`` or above with the group's middle, the row without a digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in _groups(batches):
+            own = group.column("d1").is_valid().to_numpy()
+            if own.all():
+                continue
+            shingles = group.column("shingles").combine_chunks()
+            sizes = shingles.value_lengths().to_numpy()
+            flat, cuts = shingles.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+            middle = int(np.flatnonzero(~own)[0])
+            shared = np.add.reduceat(np.isin(flat, flat[cuts[middle] : cuts[middle + 1]]), cuts[:-1], dtype=np.int64)
+            good = own & (shared / (sizes + sizes[middle] - shared) >= threshold)
+            if good.any():
+                yield from group.select(["path", "d1", "d2"]).filter(pa.array(good)).combine_chunks().to_batches()
+
+    return run
+
+
+def _parts(size: Column, tokens: Column) -> Column:
+    return F.greatest(F.ceil(size / BLOCK), F.ceil(tokens / BLOCK_TOKENS)).cast("bigint")
+
+
+def _with_parts(members: DataFrame, tokens: DataFrame, threshold: float) -> DataFrame:
+    """Members and their part in the ball, around a middle of the shingles that half of the owned sets have (of a sample, if there are many).
+
+    Any two sets of the core are linked: each is within half the allowed distance of the middle, and the distance is a metric.
+    """
+    owned = members.where("owned").select(F.col("ball").alias("path"), "d1", "d2").join(tokens, ["d1", "d2"])
+    parts = owned.groupBy("path").agg(_parts(F.count("*"), F.sum(F.size("shingles"))).alias("parts"), F.ceil(F.count("*") / SAMPLE).cast("bigint").alias("one_in"))
+    owned = owned.join(parts, "path")
+    some = owned.where(F.pmod(F.xxhash64("d2", "d1"), "one_in") == 0).select("path", "parts", "d1", "shingles")
+    enough = some.groupBy("path").agg((F.count("*") / 2).alias("half"))
+    shared = some.select("path", "parts", F.explode("shingles").alias("shingle")).groupBy("path", "parts", "shingle").agg(F.count("*").alias("sets"))
+    middles = shared.join(enough, "path").where("sets >= half").groupBy("path", "parts").agg(F.collect_list("shingle").alias("shingles"))
+    middles = middles.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    dealt = owned.select("path", F.pmod(F.xxhash64("d2", "d1"), "parts").alias("i"), "d1", "d2", "shingles")
+    none = F.lit(None).cast("bigint")
+    dealt = dealt.unionByName(middles.select("path", "i", none.alias("d1"), none.alias("d2"), "shingles")).withColumn("j", F.lit(0).cast("bigint"))
+    dealt = dealt.repartition("path", "i").sortWithinPartitions("path", "i")
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("path", "d1", "d2")])
+    cores = mapped(dealt, _measured((1 + threshold) / 2 + 1e-9), schema).select(F.col("path").alias("ball"), "d1", "d2", F.lit(True).alias("core"))
+    part = F.when(F.col("core"), CORE).when(F.col("owned"), OPEN).otherwise(SHELL)
+    return stored(members.join(cores, ["ball", "d1", "d2"], "left").withColumn("part", part).drop("owned", "core"))
+
+
+def _ball_blocks(members: DataFrame) -> DataFrame:
+    """Deals members (ball, part, d1, d2, n, ...) over blocks of one part, and each to the pairs of blocks it is compared in: neither a core nor a shell with itself."""
+    agg = [f(F.when(F.col("part") == p, c)).alias(f"{name}{p}") for p in (CORE, OPEN, SHELL) for f, c, name in ((F.count, F.lit(1), "size"), (F.sum, F.col("n"), "tokens"))]
+    sizes = members.groupBy("ball").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), *agg).where(f"size{CORE} + size{OPEN} > 0 and size{OPEN} + size{SHELL} > 0")
+    at_once = (F.col("size") <= 2 * BLOCK) & (F.col("tokens") <= 2 * BLOCK_TOKENS)
+    end = [F.lit(0).cast("bigint")]
+    for p in (CORE, OPEN, SHELL):
+        end.append(end[-1] + F.coalesce(_parts(F.col(f"size{p}"), F.col(f"tokens{p}")), F.lit(0)))
+    sizes = sizes.select("ball", at_once.alias("at_once"), *(e.alias(f"end{i}") for i, e in enumerate(end)))
+    by_part = lambda values: F.when(F.col("part") == CORE, values[0]).when(F.col("part") == OPEN, values[1]).otherwise(values[2])
+    first, beyond = by_part([F.col("end1"), F.col("end0"), F.col("end0")]), by_part([F.col("end3"), F.col("end3"), F.col("end2")])
+    side = by_part([F.col(f"end{p}") + F.pmod(F.xxhash64("d2", "d1"), F.col(f"end{p + 1}") - F.col(f"end{p}")) for p in (CORE, OPEN, SHELL)])
+    zero, none = F.lit(0).cast("bigint"), F.array().cast("array<bigint>")
+    others = F.when(F.col("at_once"), F.array(zero)).when(beyond > first, F.sequence(first, beyond - 1)).otherwise(none)
+    dealt = members.join(sizes, "ball").withColumn("side", F.when(F.col("at_once"), zero).otherwise(side)).withColumn("other", F.explode(others))
+    return dealt.withColumn("path", F.col("ball")).withColumn("i", F.least("side", "other")).withColumn("j", F.greatest("side", "other"))
+
+
 def _blocks(leaves: DataFrame) -> DataFrame:
     """Deals a leaf over blocks of about BLOCK sets or BLOCK_TOKENS shingles, and each set to every pair of blocks it has a part in."""
     # One step holds the sets of two blocks anyway, so a leaf of that size is compared at once.
     at_once = (F.col("size") <= 2 * BLOCK) & (F.col("tokens") <= 2 * BLOCK_TOKENS)
-    parts = F.when(at_once, F.lit(1)).otherwise(F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("tokens") / BLOCK_TOKENS))).cast("bigint")
+    parts = F.when(at_once, F.lit(1).cast("bigint")).otherwise(_parts(F.col("size"), F.col("tokens")))
     dealt = leaves.withColumn("parts", parts).withColumn("side", F.pmod(F.xxhash64("d2", "d1"), "parts"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
     return dealt.select("path", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "side", "d1", "d2")
 
 
-def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+def _groups(batches: Iterator[pa.RecordBatch], by: tuple[str, ...] = ("path", "i", "j")) -> Iterator[pa.Table]:
     """Rows with equal (path, i, j), which come together; one group has at most two blocks' rows."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         if not batch.num_rows:
             continue
-        keys = [batch.column(c).to_numpy() for c in ("path", "i", "j")]
+        keys = [batch.column(c).to_numpy() for c in by]
         ends = np.flatnonzero(np.any([k[1:] != k[:-1] for k in keys], axis=0)) + 1
-        if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(("path", "i", "j"), keys, strict=True)):
+        if held and any(held[-1].column(c)[-1].as_py() != k[0] for c, k in zip(by, keys, strict=True)):
             yield pa.Table.from_batches(held)
             held = []
         begin = 0
@@ -142,19 +291,19 @@ def _fixed(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
 
 
 def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a group that enough coordinates have equal, where no bucket of a lower path holds both."""
+    """Pairs of a group that enough coordinates have equal, where no bucket of a lower path holds both, nor both are of one core or shell."""
     rows = group.num_rows
     side, i, j = group.column("side").to_numpy(), group.column("i")[0].as_py(), group.column("j")[0].as_py()
     signature = _fixed(group.column("mh"), np.int32)
     path = group.column("path")[0].as_py()
     lists = group.column("paths").combine_chunks()
+    part = group.column("part").to_numpy()
     if rows == 2:
-        near = (i == j or side[0] != side[1]) and int((signature[0] == signature[1]).sum()) >= MIN_EQUAL and not any(p < path for p in set(lists[0].as_py()) & set(lists[1].as_py()))
+        near = (part[0] != part[1] or part[0] == OPEN) and (i == j or side[0] != side[1]) and int((signature[0] == signature[1]).sum()) >= MIN_EQUAL and not any(p < path for p in set(lists[0].as_py()) & set(lists[1].as_py()))
         return (np.array([0]), np.array([1])) if near else (np.zeros(0, int), np.zeros(0, int))
-    equal = np.zeros((rows, rows), np.int16)
-    for c in range(COORDINATES):
-        equal += signature[:, c, None] == signature[None, :, c]
-    good = equal >= MIN_EQUAL
+    good = _equal(signature) >= MIN_EQUAL
+    if (part != OPEN).any():
+        good &= (part[:, None] != part[None, :]) | (part == OPEN)
     lower, owner = lists.flatten().to_numpy(), np.repeat(np.arange(rows), lists.value_lengths().to_numpy())
     owner, lower = owner[lower < path], lower[lower < path]
     if len(lower):
@@ -264,7 +413,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     Equal sets are one set with a number of copies. Sets are split on sampled tokens, buckets over SPLIT_OVER again; what shares a
     bucket is compared by coordinates and then exactly, in blocks, each pair only in the first bucket that holds it. A
-    large group of near copies gives counts per set and a few edges, never all its pairs.
+    large group of near copies gives counts per set and a few edges, never all its pairs: pivots are sought in large root
+    buckets, the sets close to a pivot leave the buckets and stand once, in its ball. Those within half the allowed distance of
+    its middle are the core, linked for certain and counted by its size; the others are compared with the core, with each
+    other and with the sets further out that could still link with them.
     One row per document row: id, k (text key), n (shingles), class_id (least id of the class), keeper (id and k of one
     document of it) and n_links (other documents at the threshold or above, copies included). Texts without words are linked to nothing
     and are a class of their own; shorter ones than a shingle are one shingle.
@@ -277,14 +429,24 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     sets = rows.where("n > 0").groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min(F.struct("id", "k")).alias("keeper"), F.min("id").alias("least"), F.max("n").alias("n"), F.first("mh").alias("mh"))
     sets = stored(sets)
 
-    leaves = _leaves(sets, runs_for(recall, threshold))
+    runs = runs_for(recall, threshold)
+    nodes = stored(_sized(_paths(sets, runs, "d1", "d2", "n")))
+    balls = _balls(sets.drop("least"), nodes, runs, reach_for(runs, recall, threshold))
+    if balls is not None:
+        owned = bounded(balls.where("owned").select("d1", "d2"))
+        nodes = stored(_sized(nodes.drop("size").join(owned, ["d1", "d2"], "left_anti")))
+    leaves = _leaves(sets, nodes)
     paths = leaves.groupBy("d1", "d2").agg(F.collect_list("path").alias("paths"))
-    known = sets.select("d1", "d2", "copies", "keeper", "mh").join(paths, ["d1", "d2"])
+    known = sets.select("d1", "d2", "copies", "keeper", "mh").join(paths, ["d1", "d2"]).withColumn("part", F.lit(OPEN))
     grouped = _blocks(leaves).join(known, ["d1", "d2"])
-    grouped = grouped.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+    by_group = lambda df: df.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
+    grouped = by_group(grouped)
     compared = stored(mapped(grouped, _compared, grouped.schema))
 
-    wanted = compared.select("d1", "d2", F.col("keeper.id").alias("__id"), F.col("keeper.k").alias("__k")).distinct()
+    wanted = compared.select("d1", "d2", F.col("keeper.id").alias("__id"), F.col("keeper.k").alias("__k"))
+    if balls is not None:
+        wanted = wanted.unionByName(balls.select("d1", "d2", F.col("keeper.id").alias("__id"), F.col("keeper.k").alias("__k")))
+    wanted = wanted.distinct()
     texts = base.join(wanted, _same(F.col("id"), F.col("__id")) & (F.col("k") == F.col("__k"))).select("d1", "d2", "text")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,8 +458,18 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
 
     tokens = mapped(texts, shingles, T.StructType([*longs("d1", "d2"), T.StructField("shingles", T.ArrayType(T.LongType()))]))
     tokens = tokens.dropDuplicates(["d1", "d2"])  # rows that repeat
-    exact = compared.drop("keeper").join(tokens, ["d1", "d2"]).repartition("path", "i", "j").sortWithinPartitions("path", "i", "j")
-    linked = stored(mapped(exact, _linked(threshold), T.StructType(longs("d1", "d2", "links", "r1", "r2"))))
+    sure = None
+    if balls is not None:
+        tokens = stored(tokens)
+        members = _with_parts(balls, tokens, threshold)
+        around = by_group(_ball_blocks(members.withColumn("paths", F.array().cast("array<bigint>"))).select(*grouped.columns))
+        compared = compared.unionByName(stored(mapped(around, _compared, grouped.schema)))
+        cores = members.where(F.col("part") == CORE)
+        heads = cores.groupBy("ball").agg(F.sum("copies").alias("weight"), F.min(F.struct("d1", "d2")).alias("head"))
+        sure = cores.join(heads, "ball").select("d1", "d2", (F.col("weight") - F.col("copies")).alias("links"), F.col("head.d1").alias("r1"), F.col("head.d2").alias("r2")).where("links > 0")
+    exact = by_group(compared.drop("keeper").join(tokens, ["d1", "d2"]))
+    linked = mapped(exact, _linked(threshold), T.StructType(longs("d1", "d2", "links", "r1", "r2")))
+    linked = stored(linked.unionByName(sure) if sure is not None else linked)
 
     node, root = F.struct("d1", "d2"), F.struct(F.col("r1").alias("d1"), F.col("r2").alias("d2"))
     roots = components(linked.select(node.alias("u"), root.alias("v")))
