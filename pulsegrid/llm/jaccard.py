@@ -173,7 +173,8 @@ def _balls(sets: DataFrame, nodes: DataFrame, runs: int, reach: int) -> DataFram
         return None
     large = nodes.where(F.col("size") > SPLIT_OVER).where(F.pmod(F.xxhash64("d2", "d1"), F.ceil(F.col("size") / SAMPLE).cast("bigint")) == 0)
     mh = sets.select("d1", "d2", "mh")
-    sampled = large.select("path", "d1", "d2").join(mh, ["d1", "d2"]).repartition("path").sortWithinPartitions("path", "d1", "d2")
+    large = bounded(stored(large.select("path", "d1", "d2")))  # so the sets need no shuffle
+    sampled = large.join(mh, ["d1", "d2"]).repartition("path").sortWithinPartitions("path", "d1", "d2")
     centres = mapped(sampled, _centres(reach), T.StructType([T.StructField("mh", T.ArrayType(T.IntegerType()))]))
     centres = stored(centres.select(F.xxhash64("mh").alias("ball"), "mh").dropDuplicates(["ball"]))
     if centres.isEmpty():
